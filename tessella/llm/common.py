@@ -55,3 +55,31 @@ class Scratch:
         for df in kept:
             path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
+    """``node`` and ``component`` (the smallest node it is linked with) of every node in ``edges`` (a, b).
+
+    Alternating large and small stars: each round is a few grouped minima and equi-joins, so a node with very many
+    links is split like any skewed key. Each round is written and the one before it deleted.
+    """
+    pairs = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    now = scratch.keep(pairs)
+    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    seen = mark(now)
+    for _ in range(most_rounds):
+        both = now.select(F.col("u").alias("n"), F.col("v").alias("m")).unionAll(now.select(F.col("v").alias("n"), F.col("u").alias("m")))
+        low = both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low"))
+        large = both.filter("m > n").join(low, "n").select(F.col("m").alias("u"), F.col("low").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("low"))
+        small = large.join(least, "u").filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        after = scratch.keep(small.unionAll(least.select("u", F.col("low").alias("v"))).distinct())
+        scratch.drop(now)
+        now, before = after, seen
+        seen = mark(now)
+        if seen == before:
+            break
+    else:
+        raise RuntimeError(f"components have not settled after {most_rounds} rounds")
+    roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)

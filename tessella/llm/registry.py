@@ -6,12 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, token_counts
+from tessella.llm import bpe, quality, simhash, token_counts
 from tessella.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict for every document."""
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text they give again, as digests."""
     out = bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE, decode_too=True)
@@ -27,6 +32,12 @@ def bpe_digests(encoded: DataFrame) -> DataFrame:
     )
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     out = token_counts.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
@@ -34,7 +45,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op4_bpe": op4_bpe, "op10_token_counts": op10_token_counts}
+    return {"op3_quality_rules": op3_quality_rules, "op4_bpe": op4_bpe, "op9_simhash": op9_simhash, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
