@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, quality, simhash, token_counts
+from tessella.llm import bpe, quality, simhash, token_counts, url_filter
 from tessella.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -32,6 +32,42 @@ def bpe_digests(encoded: DataFrame) -> DataFrame:
     )
 
 
+#: Fixed by the query's contract.
+BASE_RULES = (url_filter.RuleList(("org/", "com/fr/"), "allow"), url_filter.RuleList(("example.org/es/", "example.org/en/1", "com/de/"), "block"))
+#: The method's own list, asked where no base rule fits: hosts of adverts, adult pages and betting.
+OWN_RULES = url_filter.RuleList(
+    tuple(f"{host}.example.{end}/" for host in ("ads-track", "adult-x", "free-bets") for end in ("com", "net", "org")), "block", tier=1
+)
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict for the url of every page."""
+    out = url_filter.judge(table(spark, sf_dir, "pages"), [*BASE_RULES, OWN_RULES])
+    base = F.col("rule").isin([r for x in BASE_RULES for r in x.rules])
+    return out.select("page_id", "host", "path", F.when(base, F.col("rule")).alias("rule"), "verdict")
+
+
+OP6_SQL = """
+WITH u AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u
+), r(rhost, rpath, verdict) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), own(host) AS (
+  SELECT a || '.example.' || b FROM (VALUES ('ads-track'), ('adult-x'), ('free-bets')) x(a), (VALUES ('com'), ('net'), ('org')) y(b)
+), best AS (
+  SELECT page_id, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(verdict, length(rhost || rpath)) AS verdict
+  FROM h, r WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id
+)
+SELECT h.page_id, h.host, h.path, best.rule,
+       coalesce(best.verdict, CASE WHEN starts_with(h.path, '/') AND EXISTS (SELECT 1 FROM own WHERE h.host = own.host OR ends_with(h.host, '.' || own.host)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM h LEFT JOIN best ON h.page_id = best.page_id
+"""
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -45,8 +81,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_quality_rules": op3_quality_rules, "op4_bpe": op4_bpe, "op9_simhash": op9_simhash, "op10_token_counts": op10_token_counts}
+    return {"op3_quality_rules": op3_quality_rules, "op4_bpe": op4_bpe, "op6_url_filter": op6_url_filter, "op9_simhash": op9_simhash, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_filter": OP6_SQL}
