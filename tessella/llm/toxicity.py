@@ -5,7 +5,7 @@ machine has a weight and a short vector for each bucket and scores the sum of th
 all pairs, so two terms that mean little alone can mean much together.
 
 It is trained on the driver from a sample of labelled rows with a fixed bound; the buckets it uses are those whose
-document counts in the sample differ most between the labels. Scoring reads every text whole, in Arrow batches.
+document counts in the sample stand out most among texts of label 1. Scoring reads every text whole, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -136,7 +136,7 @@ def fit(
     a, m = F.col("a").cast("double"), F.col("m").cast("double")
     expected = m * (n1 / n)
     chi2 = (a - expected) * (a - expected) / (expected * (1 - n1 / n) + 1.0)
-    picked = [r["term"] for r in by.filter("m >= 2").orderBy(chi2.desc(), "term").limit(n_terms).collect()]
+    picked = [r["term"] for r in by.filter((F.col("m") >= 2) & (a > expected)).orderBy(chi2.desc(), "term").limit(n_terms).collect()]
     wanted = {b: i for i, b in enumerate(picked)}
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
