@@ -6,12 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, quality, simhash, token_counts, toxicity, url_filter
+from tessella.llm import bpe, html_text, quality, simhash, token_counts, toxicity, url_filter
 from tessella.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    out = html_text.extract(table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict for every document."""
     return quality.judge(table(spark, sf_dir, "documents"))
@@ -89,7 +95,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_quality_rules": op3_quality_rules, "op4_bpe": op4_bpe, "op6_url_filter": op6_url_filter, "op7_toxicity": op7_toxicity, "op9_simhash": op9_simhash, "op10_token_counts": op10_token_counts}
+    return {"op1_html_text": op1_html_text, "op3_quality_rules": op3_quality_rules, "op4_bpe": op4_bpe, "op6_url_filter": op6_url_filter, "op7_toxicity": op7_toxicity, "op9_simhash": op9_simhash, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
