@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, html_text, quality, simhash, token_counts, toxicity, url_filter
+from tessella.llm import bpe, html_text, license_scan, quality, simhash, token_counts, toxicity, url_filter
 from tessella.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,6 +18,39 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every document."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+_NOTICES = ", ".join(f"('{label}', '{text}')" for label, texts in license_scan.TEMPLATES.items() for text in texts)
+_PHRASE_WORDS = ", ".join(f"('{label}', {phrase.split(' ')})" for phrase, label in license_scan.PHRASES.items())
+OP2_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), w AS (
+  SELECT k, doc_id, t, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM d
+), p(label, phrase) AS (VALUES {_PHRASE_WORDS}
+), h AS (
+  SELECT k, label, i FROM w, p, unnest(range(1, len(words) + 1)) x(i) WHERE words[i] = phrase[1] AND words[i : i + len(phrase) - 1] = phrase
+), b AS (
+  SELECT k, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, list(DISTINCT label) AS found FROM h GROUP BY k
+), n(label, notice) AS (VALUES {_NOTICES}
+), l AS (
+  SELECT DISTINCT k, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS line FROM d, unnest(string_split(t, chr(10))) x(line)
+), s AS (
+  SELECT k, label, len(list_intersect(line, list_distinct(string_split(notice, ' ')))) / len(list_distinct(string_split(notice, ' '))) AS share FROM l, n
+), m AS (
+  SELECT k, list(DISTINCT label) AS more, max(share) AS share FROM s WHERE share >= 0.8 GROUP BY k
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(array_to_string(list_sort(found), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(found, []), coalesce(more, [])))), ','), '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0)::DOUBLE END AS score
+FROM w LEFT JOIN b USING (k) LEFT JOIN m USING (k)
+"""
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict for every document."""
     return quality.judge(table(spark, sf_dir, "documents"))
@@ -95,8 +128,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_html_text": op1_html_text, "op3_quality_rules": op3_quality_rules, "op4_bpe": op4_bpe, "op6_url_filter": op6_url_filter, "op7_toxicity": op7_toxicity, "op9_simhash": op9_simhash, "op10_token_counts": op10_token_counts}
+    return {"op1_html_text": op1_html_text, "op2_license_scan": op2_license_scan, "op3_quality_rules": op3_quality_rules, "op4_bpe": op4_bpe, "op6_url_filter": op6_url_filter, "op7_toxicity": op7_toxicity, "op9_simhash": op9_simhash, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6_SQL}
+    return {"op2_license_scan": OP2_SQL, "op6_url_filter": OP6_SQL}
