@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, html_text, license_scan, quality, simhash, token_counts, toxicity, url_filter
+from tessella.llm import bpe, html_text, license_scan, quality, simhash, substring_dedup, token_counts, toxicity, url_filter
 from tessella.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -115,6 +115,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document."""
+    out = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -128,7 +134,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_html_text": op1_html_text, "op2_license_scan": op2_license_scan, "op3_quality_rules": op3_quality_rules, "op4_bpe": op4_bpe, "op6_url_filter": op6_url_filter, "op7_toxicity": op7_toxicity, "op9_simhash": op9_simhash, "op10_token_counts": op10_token_counts}
+    return {"op1_html_text": op1_html_text, "op2_license_scan": op2_license_scan, "op3_quality_rules": op3_quality_rules, "op4_bpe": op4_bpe, "op6_url_filter": op6_url_filter, "op7_toxicity": op7_toxicity, "op8_substring_dedup": op8_substring_dedup, "op9_simhash": op9_simhash, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
