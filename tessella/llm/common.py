@@ -24,6 +24,14 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to differ from all columns of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, html_text, license_scan, quality, simhash, substring_dedup, token_counts, toxicity, url_filter
+from tessella.llm import bpe, decontamination, html_text, license_scan, quality, simhash, substring_dedup, token_counts, toxicity, url_filter
 from tessella.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -71,6 +71,14 @@ def bpe_digests(encoded: DataFrame) -> DataFrame:
     )
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.transform("_items", lambda x: x["item"]))
+    return out.select("doc_id", (F.size("_items") > 0).alias("contaminated"), F.size("_items").cast("long").alias("n_items"), items.alias("items"))
+
+
 #: Fixed by the query's contract.
 BASE_RULES = (url_filter.RuleList(("org/", "com/fr/"), "allow"), url_filter.RuleList(("example.org/es/", "example.org/en/1", "com/de/"), "block"))
 #: The method's own list, asked where no base rule fits: hosts of adverts, adult pages and betting.
@@ -133,9 +141,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over the documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {"op1_html_text": op1_html_text, "op2_license_scan": op2_license_scan, "op3_quality_rules": op3_quality_rules, "op4_bpe": op4_bpe, "op6_url_filter": op6_url_filter, "op7_toxicity": op7_toxicity, "op8_substring_dedup": op8_substring_dedup, "op9_simhash": op9_simhash, "op10_token_counts": op10_token_counts}
+    return {"pipeline": pipeline, "op1_html_text": op1_html_text, "op2_license_scan": op2_license_scan, "op3_quality_rules": op3_quality_rules, "op4_bpe": op4_bpe, "op5_decontamination": op5_decontamination, "op6_url_filter": op6_url_filter, "op7_toxicity": op7_toxicity, "op8_substring_dedup": op8_substring_dedup, "op9_simhash": op9_simhash, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
+    """Ops 1, 3, 4, 5, 7, 8, 9, 10 and the pipeline are tested against brute force, round trips or held-out labels."""
     return {"op2_license_scan": OP2_SQL, "op6_url_filter": OP6_SQL}

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import Scratch, text_of
+from tessella.llm.common import Scratch, free_name, text_of
 
 WINDOW, ANCHOR = 20, 8
 SIDE = WINDOW - ANCHOR
@@ -317,8 +317,8 @@ def removed_spans(docs: DataFrame, scratch: Scratch, most_in_shard: int = 4000,
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_in_shard: int = 4000) -> DataFrame:
-    """All columns of ``docs`` and _n_words, _n_removed, _kept (the words that stay, joined by one space) and _text (the
-    same with the white space between them as it was; unchanged where nothing goes).
+    """All columns of ``docs`` and last _n_words, _n_removed, _kept (the words that stay, joined by one space) and _text
+    (the same with the white space between them as it was; unchanged where nothing goes); see free_name.
 
     Null texts have no words. Null ids come after all others. Rows of one id and text are one document, and none of them
     is earlier than the others; rows of one id with different texts are ordered by a hash of the text. Texts under twenty
@@ -334,10 +334,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
     spans = spans.select(F.col("id").alias(f"{prefix}id"), F.col("th").alias(f"{prefix}th"), F.col("spans").alias(f"{prefix}spans"))
     keyed = docs.withColumns({f"{prefix}id": id_, f"{prefix}th": th})
     joined = keyed.join(spans, [f"{prefix}id", f"{prefix}th"], "left").select(*docs.columns, f"{prefix}spans")
-    schema = T.StructType(
-        [*docs.schema.fields, T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType())]
-        + [T.StructField("_kept", T.StringType()), T.StructField("_text", T.StringType())]
-    )
+    added = {"_n_words": T.LongType(), "_n_removed": T.LongType(), "_kept": T.StringType(), "_text": T.StringType()}
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(free_name(docs, c), kind) for c, kind in added.items()]])
     where, n = docs.columns.index(text_col), len(docs.columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,5 +365,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str = "n_chars") -> DataFrame:
     """``docs`` with the repeated passages cut out of its texts; a column ``n_chars_col`` follows."""
     out = dedup(docs, id_col, text_col)
-    columns = [F.col("_text").alias(c) if c == text_col else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == n_chars_col else F.col(c) for c in docs.columns]
+    text = out.columns[-1]
+    columns = [F.col(text).alias(c) if c == text_col else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == n_chars_col else F.col(c) for c in docs.columns]
     return out.select(*columns)
