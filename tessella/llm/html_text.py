@@ -51,6 +51,8 @@ NAME_ODDS = (
     | {"header": -5.0, "head": -3.0, "article": 3.0, "content": 2.0, "main": 3.0, "post": 2.0, "entry": 2.0, "story": 2.0, "body": 1.0, "text": 1.0, "prose": 2.0}
 )
 
+LAYOUT = frozenset("with has no without".split())
+
 
 @dataclass
 class Block:
@@ -73,9 +75,12 @@ def _element_odds(tag: str, attributes: str) -> float:
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             worst = -12.0
         elif name in ("class", "id", "role"):
-            for part in _NAME_PART.findall(value):
-                o = NAME_ODDS.get(part.lower(), 0.0)
-                worst, best = min(worst, o), max(best, o)
+            for token in value.split():
+                parts = [x.lower() for x in _NAME_PART.findall(token)]
+                odds_of = [NAME_ODDS.get(x, 0.0) for x in parts]
+                if not LAYOUT.intersection(parts):  # "with-sidebar" says how the page is laid out, not what this is
+                    worst = min([worst, *odds_of])
+                best = max([best, *odds_of])
     return odds + worst + (best if worst == 0.0 else 0.0)
 
 

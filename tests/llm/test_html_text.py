@@ -26,6 +26,11 @@ def test_comments_inside_the_article_go():
     assert H.main_text(page) == "Head of it\nWords of the article."
 
 
+def test_layout_names_say_nothing():
+    page = '<div class="content with-sidebar"><p>Words of the article, enough of them to count as a paragraph.</p></div><div class="side-bar sidebar"><p>Words beside it.</p></div>'
+    assert H.main_text(page) == "Words of the article, enough of them to count as a paragraph."
+
+
 def test_odd_pages():
     assert H.main_text("") == "" and H.main_text("<p>") == "" and H.main_text("<!-- <p>x</p>") == ""
     assert H.main_text("<p>one<p>two &nbsp; three") == "one\ntwo three"
