@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessella import vocab
 from tessella.functions import predicates as P
 from tessella.functions import text as X
-from tessella.operators import chunks, diff, extract, lexical, rank, report, semantic
+from tessella.operators import ann, chunks, diff, extract, lexical, rank, report, semantic
 from tessella.sources import files as sources
 
 QUERIES: dict = {}
@@ -379,6 +379,16 @@ def maxsim_topk(spark, sf_dir):
     return semantic.maxsim(_token_lists(spark, sf_dir), np.array(q), 10).withColumn("score", F.round("score", 6))
 
 
+@query()
+def ann_topk(spark, sf_dir):
+    """The best ten by codes, with exact scores; tests hold their recall."""
+    import numpy as np
+
+    q = np.array([r["qvec"] for r in _query_vectors(spark, sf_dir, 1).orderBy("qpos").collect()], np.float32)  # one query's vectors
+    vectors, encoder = _token_lists(spark, sf_dir), ann.Encoder(q.shape[1])
+    return ann.search(ann.codes(vectors, encoder), vectors, encoder, q, 10, 60).withColumn("score", F.round("score", 6))
+
+
 @query(
     f"""WITH {MAXSIM_CTES}, a AS (SELECT doc_id AS key, round((doc_id % 97) / 10.0::DOUBLE, 6) AS score FROM documents WHERE doc_id % 3 = 0),
       b AS (SELECT key, score FROM s WHERE query_id = 0), u AS (SELECT key, max(score) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY key)

@@ -10,7 +10,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from tessella.operators import report
-from tessella.operators.semantic import HashEmbedder
+from tessella.operators.semantic import EMBEDDERS, HashEmbedder
 from tessella.plans import index as I
 from tessella.session import session
 from tessella.sources import files as sources
@@ -96,7 +96,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     """0: found, 1: nothing found, 2: error."""
     p = argparse.ArgumentParser(prog="tessella")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("search", "build", "status", "clean", "list", "outline", "serve"):
+    for name in ("search", "build", "status", "clean", "list", "outline", "model", "serve"):
         c = sub.add_parser(name)
         if name == "search":
             c.add_argument("query")
@@ -137,6 +137,9 @@ def _run(spark: SparkSession, a: argparse.Namespace) -> int:
         for x in I.list_indexes(spark, a.path):
             print(x["path"], "needs rebuild" if x["blocks"] is None else x["blocks"])
         return 0
+    if a.command == "model":
+        print("\n".join(f"{name}: {' '.join((kind.__doc__ or '').split())}" for name, kind in EMBEDDERS.items()))
+        return 0
     if a.command == "serve":
         Server(spark, a.path).run()
         return 0
