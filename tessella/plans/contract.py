@@ -153,6 +153,23 @@ def upsert_manifest(spark, sf_dir):
     return diff.upsert(old, new, new, "rel_path")
 
 
+@query(f"SELECT n.rel_path, n.content FROM ({V2}) n JOIN ({DIFF_SQL}) d ON n.rel_path = d.rel_path WHERE d.status IN ('new', 'changed')")
+def changed_contents(spark, sf_dir):
+    work = _diff(spark, sf_dir).filter(F.col("status").isin("new", "changed")).select("rel_path")
+    return state(spark, sf_dir, V2).join(work, "rel_path", "left_semi").select("rel_path", "content")
+
+
+EVALUATION = "SELECT CASE WHEN lang = 'en' THEN 'test' ELSE 'train' END AS partition, substring(text, 1, 40) AS docstring, text AS code FROM documents"
+
+
+@query(
+    f"""SELECT printf('%06d.py', row_number() OVER (ORDER BY o, code) - 1) AS rel_path, code AS content, docstring AS query FROM (
+      SELECT *, sha256('42|' || code) AS o FROM ({EVALUATION}) WHERE partition = 'test' AND trim(docstring) <> '' AND trim(code) <> '' ORDER BY o, code LIMIT 50)"""
+)
+def evaluation_corpus(spark, sf_dir):
+    return sources.evaluation_corpus(shared(spark, sf_dir, EVALUATION), 50)
+
+
 # --- text functions ---
 
 IDS_RE = "[a-zA-Z][a-zA-Z0-9_]*[a-zA-Z0-9]"
@@ -315,6 +332,19 @@ def bm25_topk(spark, sf_dir):
     return _bm25(spark, sf_dir)
 
 
+@query(
+    f"""WITH {BM25_CTES}, i AS (SELECT b.*, row_number() OVER (PARTITION BY item_id ORDER BY b.score DESC, b.key) AS n FROM b JOIN documents ON doc_id = key WHERE source = 'src1')
+    SELECT item_id, key, score, n::INT AS rank FROM i WHERE n <= 5"""
+)
+def scoped_bm25(spark, sf_dir):
+    """The scope is a filter before the top k, so a narrow one loses no hits."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    inside = docs.filter(P.in_scope(F.col("source"), "src1")).select(F.col("doc_id").alias("key"))
+    post, lens = lexical.postings(docs, "doc_id", "text"), lexical.lengths(docs, "doc_id", "text")
+    scored = lexical.bm25(lexical.query_words(items, "item_id", "text"), post, lens, "item_id").join(inside, "key", "left_semi")
+    return lexical.top_k(scored.withColumn("score", F.round("score", 6)), 5, "item_id")
+
+
 @query(
     f"""WITH {BM25_CTES}, g AS (SELECT b.item_id, d.doc_id AS key FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
       h AS (SELECT g.item_id, min(rank) AS rank FROM g LEFT JOIN (SELECT * FROM r WHERE rank <= 10) r ON r.item_id = g.item_id AND r.key = g.key GROUP BY g.item_id)
@@ -480,6 +510,19 @@ def block_lookup(spark, sf_dir):
     return rows.filter(P.holds_line(F.col("start_line"), F.col("end_line"), 20) & name).select("file", "name", "start_line")
 
 
+@query(
+    f"""SELECT file, line, (SELECT min((start_line, doc_id)) FROM ({BLOCKS}) b WHERE b.file = q.file AND q.line BETWEEN start_line AND end_line)[2] AS hit,
+      (SELECT min((start_line, doc_id)) FROM ({BLOCKS}) b WHERE b.file = q.file)[2] AS first FROM (SELECT DISTINCT file, x AS line FROM ({BLOCKS}), (VALUES (3), (20), (90)) v(x)) q"""
+)
+def line_resolution(spark, sf_dir):
+    """For lines of every file the first block that holds it, and the file's first block, which stands in without one."""
+    rows = shared(spark, sf_dir, BLOCKS)
+    place = F.struct("start_line", "doc_id")
+    firsts = rows.groupBy("file").agg(F.min(place)["doc_id"].alias("first"), *[F.min(F.when(P.holds_line(F.col("start_line"), F.col("end_line"), n), place))["doc_id"].alias(f"l{n}") for n in (3, 20, 90)])
+    lines = F.array(*[F.struct(F.lit(n).alias("line"), F.col(f"l{n}").alias("hit")) for n in (3, 20, 90)])
+    return firsts.select("file", "first", F.inline(lines)).select("file", "line", "hit", "first")
+
+
 # --- reports ---
 
 RANKED = f"SELECT *, CAST(doc_id AS INT) AS rank, CAST(doc_id % 7 AS DOUBLE) AS score FROM ({BLOCKS})"
