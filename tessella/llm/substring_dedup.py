@@ -7,7 +7,7 @@ have equal anchors. The shard of an anchor that comes twice or more holds its co
 with the anchor as one symbol. A shard's task streams the contexts, earliest first, through the shard's automaton for
 their matching statistics, removes the spans that match over a window or more, and adds what was new. A shard has a fixed
 bound. The few anchors that come more often than that are spread over their windows: one grouped minimum, summed up before
-it is shuffled, finds where each window starts first, and a join tells the others.
+it is shuffled, finds where each window starts first.
 
 Which anchors come twice is one grouped count. Tasks learn it from a Bloom filter while it is small enough to send, and
 from a join beyond; what the filter lets through by chance matches nothing.
@@ -236,6 +236,43 @@ def _shard_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+def _hot_spans(windows: DataFrame, scratch: Scratch, limit: int) -> DataFrame:
+    """Spans of windows (w1 and w2: their hash) that start earlier too, for anchors too common for a shard.
+
+    A grouped minimum says where each window starts first. The windows that come more often than ``limit`` are few, as
+    many as the rows divided by the limit at most; each task holds them and settles them by itself, a run of them as one
+    span. The others, none of which is common any more, are joined.
+    """
+    windows = scratch.keep(windows)
+    first = scratch.keep(windows.groupBy("w1", "w2").agg(F.min(F.struct("id", "th", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    limit = max(limit, windows.count() // 1_000_000)  # so that there are at most a million common windows
+    rows = first.filter(F.col("n") > limit).select("w1", "w2", "first.*").toLocalIterator()
+    common = {(r["w1"], r["w2"]): (r["id"], r["th"], r["at"]) for r in rows}
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+        for batch in batches:
+            out: list[list] = []
+            for w1, w2, id_, th, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                known = common.get((w1, w2))
+                if known is None:
+                    out.append([w1, w2, id_, th, at, at + WINDOW, False])
+                elif (id_, th, at) > known:
+                    last = out[-1] if out else None
+                    if last and last[6] and last[2] == id_ and last[3] == th and last[4] <= at <= last[5]:
+                        last[5] = at + WINDOW
+                    else:
+                        out.append([w1, w2, id_, th, at, at + WINDOW, True])
+            columns = list(zip(*out, strict=True)) if out else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["w1", "w2", "id", "th", "from", "to", "done"])
+
+    settled = windows.mapInArrow(settle, "w1 long, w2 long, id long, th int, from int, to int, done boolean")
+    rest = settled.filter("NOT done").join(first.filter(F.col("n") <= limit), ["w1", "w2"])
+    rest = rest.filter(F.struct("id", "th", F.col("from").alias("at")) > F.col("first"))
+    columns = ["id", "th", "from", "to"]
+    return settled.filter("done").select(*columns).unionAll(rest.select(*columns))
+
+
 def removed_spans(docs: DataFrame, scratch: Scratch, most_in_shard: int = 4000, most_mb: float = 128.0) -> DataFrame:
     """id, th and spans (of word numbers, from and to) of the texts of ``docs`` (id, th, text) that lose words."""
 
@@ -309,10 +346,7 @@ def removed_spans(docs: DataFrame, scratch: Scratch, most_in_shard: int = 4000,
         rows = rows.join(repeated.select("a"), "a", "left_semi")
     spans = rows.repartition("a").sortWithinPartitions("a").mapInArrow(_shard_task, "id long, th int, from int, to int")
     if len(hot):
-        windows = source.mapInArrow(hot_windows, "w1 long, w2 long, id long, th int, at int")
-        first = windows.groupBy("w1", "w2").agg(F.min(F.struct("id", "th", "at")).alias("first"))
-        later = windows.join(first, ["w1", "w2"]).filter(F.struct("id", "th", "at") > F.col("first"))
-        spans = spans.unionAll(later.select("id", "th", F.col("at").alias("from"), (F.col("at") + WINDOW).alias("to")))
+        spans = spans.unionAll(_hot_spans(source.mapInArrow(hot_windows, "w1 long, w2 long, id long, th int, at int"), scratch, limit))
     return spans.groupBy("id", "th").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
 
 
