@@ -236,26 +236,33 @@ def _shard_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+WINDOW_NAMES = ["w1", "w2", "id", "th", "from", "to", "done"]
+WINDOW_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+
+
 def _hot_spans(windows: DataFrame, scratch: Scratch, limit: int) -> DataFrame:
-    """Spans of windows (w1 and w2: their hash) that start earlier too, for anchors too common for a shard.
+    """Spans of windows (w1 and w2: their hash) that start earlier too, for anchors too common for a shard. Rows that are
+    done are spans already.
 
     A grouped minimum says where each window starts first. The windows that come more often than ``limit`` are few, as
     many as the rows divided by the limit at most; each task holds them and settles them by itself, a run of them as one
     span. The others, none of which is common any more, are joined.
     """
     windows = scratch.keep(windows)
-    first = scratch.keep(windows.groupBy("w1", "w2").agg(F.min(F.struct("id", "th", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    fresh = windows.filter("NOT done")
+    first = scratch.keep(fresh.groupBy("w1", "w2").agg(F.min(F.struct("id", "th", F.col("from").alias("at"))).alias("first"), F.count("*").alias("n")).filter("n > 1"))
     limit = max(limit, windows.count() // 1_000_000)  # so that there are at most a million common windows
     rows = first.filter(F.col("n") > limit).select("w1", "w2", "first.*").toLocalIterator()
     common = {(r["w1"], r["w2"]): (r["id"], r["th"], r["at"]) for r in rows}
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
         for batch in batches:
             out: list[list] = []
-            for w1, w2, id_, th, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for w1, w2, id_, th, at, to, done in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 known = common.get((w1, w2))
-                if known is None:
+                if done:
+                    out.append([w1, w2, id_, th, at, to, True])
+                elif known is None:
                     out.append([w1, w2, id_, th, at, at + WINDOW, False])
                 elif (id_, th, at) > known:
                     last = out[-1] if out else None
@@ -264,7 +271,7 @@ def _hot_spans(windows: DataFrame, scratch: Scratch, limit: int) -> DataFrame:
                     else:
                         out.append([w1, w2, id_, th, at, at + WINDOW, True])
             columns = list(zip(*out, strict=True)) if out else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["w1", "w2", "id", "th", "from", "to", "done"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, WINDOW_KINDS, strict=True)], names=WINDOW_NAMES)
 
     settled = windows.mapInArrow(settle, "w1 long, w2 long, id long, th int, from int, to int, done boolean")
     rest = settled.filter("NOT done").join(first.filter(F.col("n") <= limit), ["w1", "w2"])
@@ -333,12 +340,20 @@ def removed_spans(docs: DataFrame, scratch: Scratch, most_in_shard: int = 4000,
                     words = text.split()
                     at, _, is_hot = candidates(words)
                     starts = np.unique((at[is_hot][:, None] - np.arange(SIDE + 1)).ravel())
+                    seen: set = set()
+                    again: list[list[int]] = []  # runs of windows that the text itself has before; only new ones are compared
                     for s in starts[(starts >= 0) & (starts <= len(words) - WINDOW)].tolist():
                         h = xxhash.xxh3_128_intdigest(b" ".join(words[s : s + WINDOW]))
-                        rows.append(((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), id_, th, s))
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-                out = [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
-                yield pa.RecordBatch.from_arrays(out, names=["w1", "w2", "id", "th", "at"])
+                        if h not in seen:
+                            seen.add(h)
+                            rows.append(((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), id_, th, s, s + WINDOW, False))
+                        elif again and s <= again[-1][1]:
+                            again[-1][1] = s + WINDOW
+                        else:
+                            again.append([s, s + WINDOW])
+                    rows += [(None, None, id_, th, a, b, True) for a, b in again]
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, WINDOW_KINDS, strict=True)], names=WINDOW_NAMES)
 
     source = docs.select("id", "th", "text")
     rows = source.mapInArrow(contexts, "a long, c long, left int, id long, th int, at int, text binary")
@@ -346,7 +361,7 @@ def removed_spans(docs: DataFrame, scratch: Scratch, most_in_shard: int = 4000,
         rows = rows.join(repeated.select("a"), "a", "left_semi")
     spans = rows.repartition("a").sortWithinPartitions("a").mapInArrow(_shard_task, "id long, th int, from int, to int")
     if len(hot):
-        spans = spans.unionAll(_hot_spans(source.mapInArrow(hot_windows, "w1 long, w2 long, id long, th int, at int"), scratch, limit))
+        spans = spans.unionAll(_hot_spans(source.mapInArrow(hot_windows, "w1 long, w2 long, id long, th int, from int, to int, done boolean"), scratch, limit))
     return spans.groupBy("id", "th").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
 
 
