@@ -4,10 +4,13 @@ Words become templates: a number stands as NUM, a unit after a number as UNIT, a
 NAME, any other as itself in lower case without the marks around it. Windows of eight template words of every benchmark
 item are hashed; a text's windows look theirs up, and what is found is compared in full. Windows of one item in one
 alignment must fill the placeholders consistently: the same value of the item always with the same value of the text. So
-a question asked anew with other numbers and names is found, and a chance likeness of placeholders is not.
+a question asked anew with other numbers and names is found, and a chance likeness of placeholders is not. Windows of more
+than half placeholders are not looked up as templates. All windows are also looked up as they stand, by their words in
+lower case without the marks around them, so what a text quotes word for word is found whatever it is made of.
 
-An item is in a text if the accepted windows cover at least half of its words. The benchmark's windows are held by every
-task, in shards of a fixed size; a benchmark of more shards takes as many passes.
+An item is in a text if the accepted windows cover at least half of its words, or if they hold RUN words of it in a row
+word for word. The benchmark's windows are held by every task, in shards of a fixed size; a benchmark of more shards
+takes as many passes.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from pyspark.sql import types as T
 from tessella.llm.common import Scratch, free_name
 
 WINDOW, LEAST = 8, 4
+#: Words in a row that are a quotation by themselves, as in the usual check by 13-grams.
+RUN = 13
 UNITS = frozenset(
     """mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t lb lbs oz ton tons gram grams kilogram kilograms
     ml l liter liters litre litres gal gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month
@@ -69,8 +74,8 @@ class _Words(dict):
 _WORDS = _Words()
 
 
-def templates(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word that is more than marks: its place, its template symbol and whether that is a placeholder."""
+def templates(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each word that is more than marks: its place, its template symbol, whether that is a placeholder, and its hash."""
     v = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
     kind = (v & np.uint64(_FLAGS)).astype(np.int64)
     begins = np.concatenate([[True], kind[:-1] & ENDS > 0])[: len(v)]  # the first word of a sentence is no name
@@ -79,10 +84,11 @@ def templates(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     number = kind & NUMBER > 0
     unit = (kind & UNIT > 0) & np.concatenate([[False], number[:-1]])[: len(v)]
     name = (kind & NAME > 0) & ~begins & ~unit
-    symbol = v & ~np.uint64(_FLAGS)
+    plain = v & ~np.uint64(_FLAGS)
+    symbol = plain.copy()
     for which, k in ((name, NAME), (number, NUMBER), (unit, UNIT)):
         symbol[which] = _SLOT[k]
-    return real, symbol, name | number | unit
+    return real, symbol, name | number | unit, plain
 
 
 def window_hashes(symbols: np.ndarray, size: int) -> np.ndarray:
@@ -97,52 +103,73 @@ def window_hashes(symbols: np.ndarray, size: int) -> np.ndarray:
     return out ^ out >> np.uint64(29)
 
 
+class _Windows:
+    """Hashes of windows with the item and the place that each is from."""
+
+    def __init__(self, hashes: list[np.ndarray], places: list[np.ndarray], items: list[int]):
+        all_ = np.concatenate([np.zeros(0, np.uint64), *hashes])
+        order = np.argsort(all_, kind="stable")
+        self.hashes = all_[order]
+        self.items = np.repeat(np.array(items, np.int32), [len(x) for x in places])[order]
+        self.places = np.concatenate([np.zeros(0, np.int32), *places])[order].astype(np.int32)
+        self.first = np.zeros(1 << 20, bool)
+        self.first[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+
+    def hits(self, h: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Place in the text, item and place in the item of each window that is known."""
+        at = np.flatnonzero(self.first[(h >> np.uint64(44)).astype(np.int64)])
+        begin = np.searchsorted(self.hashes, h[at])
+        at, begin = at[begin < len(self.hashes)], begin[begin < len(self.hashes)]
+        same = self.hashes[begin] == h[at]
+        for p, k in zip(at[same].tolist(), begin[same].tolist(), strict=True):
+            while k < len(self.hashes) and self.hashes[k] == h[p]:
+                yield p, int(self.items[k]), int(self.places[k])
+                k += 1
+
+
 class Benchmark:
     """The windows of some benchmark items: (item id, text) each."""
 
     def __init__(self, items: list[tuple]):
         self.items = []
-        hashes, owners = [], []
+        shaped, verbatim, some, all_ = [], [], [], []
         for id_, text in items:
             words = (text or "").encode().split()
-            real, symbols, slots = templates(words)
+            real, symbols, slots, own = templates(words)
             size = min(WINDOW, len(symbols))
             if size < LEAST:
                 continue
-            k = len(self.items)
-            self.items.append((id_, symbols, slots, [core(words[i].decode("utf-8", "replace")).lower() for i in real], size))
-            h = window_hashes(symbols, size)
+            self.items.append((id_, symbols, slots, [core(words[i].decode("utf-8", "replace")).lower() for i in real], size, own))
             plain = np.convolve(~slots, np.ones(size, np.int64), "valid")
-            for at in np.flatnonzero(2 * plain >= size).tolist():  # half of a window's words at least are themselves
-                hashes.append(h[at])
-                owners.append((k, at))
+            some.append(np.flatnonzero(2 * plain >= size))  # half of a window's words at least are themselves
+            all_.append(np.arange(len(plain)))
+            shaped.append(window_hashes(symbols, size)[some[-1]])
+            verbatim.append(window_hashes(own, size))
         self.sizes = sorted({x[4] for x in self.items})
-        order = np.argsort(np.array(hashes, np.uint64), kind="stable")
-        self.hashes = np.array(hashes, np.uint64)[order]
-        self.owners = [owners[i] for i in order.tolist()]
-        self.first = np.zeros(1 << 20, bool)
-        self.first[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+        self.shaped = _Windows(shaped, some, range(len(self.items)))
+        self.verbatim = _Windows(verbatim, all_, range(len(self.items)))
 
     def find(self, text: bytes, share: float) -> list[tuple]:
         """(item id, share of its words that is covered) of the items in ``text``, in the items' order."""
         words = text.split()
-        if not len(self.hashes) or not words:
+        if not self.items or not words:
             return []
-        real, symbols, _ = templates(words)
+        real, symbols, _, plain = templates(words)
         covered: dict[int, np.ndarray] = {}
-        lined: dict[tuple[int, int], list[int]] = {}
-        for size in self.sizes:
-            h = window_hashes(symbols, size)
-            hits = np.flatnonzero(self.first[(h >> np.uint64(44)).astype(np.int64)]) if len(h) else h
-            for p in hits.tolist():
-                k = int(np.searchsorted(self.hashes, h[p]))
-                while k < len(self.hashes) and self.hashes[k] == h[p]:
-                    item, at = self.owners[k]
-                    if self.items[item][4] == size:
-                        lined.setdefault((item, p - at), []).append(at)
-                    k += 1
-        for (item, shift), places in lined.items():
-            _, own, slots, values, size = self.items[item]
+        quoted: set[int] = set()
+        for (item, shift), places in self._lined(self.verbatim, plain).items():
+            own, size = self.items[item][5], self.items[item][4]
+            here = np.zeros(len(own), bool)
+            for at in places:
+                if np.array_equal(own[at : at + size], plain[at + shift : at + shift + size]):
+                    here[at : at + size] = True
+            if here.any():
+                covered[item] = covered[item] | here if item in covered else here
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], here.view(np.int8), [0]])))
+                if (edges[1::2] - edges[::2]).max() >= RUN:
+                    quoted.add(item)
+        for (item, shift), places in self._lined(self.shaped, symbols).items():
+            _, own, slots, values, size, _ = self.items[item]
             filled: dict[str, str] = {}
             for at in places:
                 if not np.array_equal(own[at : at + size], symbols[at + shift : at + shift + size]):
@@ -156,7 +183,18 @@ class Benchmark:
                 else:
                     filled.update(new)
                     covered.setdefault(item, np.zeros(len(own), bool))[at : at + size] = True
-        return [(self.items[k][0], float(c.mean())) for k, c in sorted(covered.items()) if c.mean() >= share]
+        return [(self.items[k][0], float(c.mean())) for k, c in sorted(covered.items()) if c.mean() >= share or k in quoted]
+
+    def _lined(self, known: _Windows, symbols: np.ndarray) -> dict[tuple[int, int], list[int]]:
+        """The places in an item that the text has, by item and alignment."""
+        lined: dict[tuple[int, int], list[int]] = {}
+        if not len(known.hashes):
+            return lined
+        for size in self.sizes:
+            for p, item, at in known.hits(window_hashes(symbols, size)):
+                if self.items[item][4] == size:
+                    lined.setdefault((item, p - at), []).append(at)
+        return lined
 
 
 def contamination(

@@ -173,6 +173,18 @@ def test_templates():
     assert decontamination.Benchmark([("x", "one two"), ("y", None)]).find(b"one two", 0.0) == []
 
 
+def test_verbatim_items_are_found():
+    items = [("sum", "Compute 12 + 35 - 7 * 4 + 18"), ("names", "Who wrote Pride And Prejudice, Jane Austen or Charlotte Brontë?")]
+    b = decontamination.Benchmark(items)
+    for id_, text in items:
+        assert b.find(f"somewhere in between stands {text} and it goes on".encode(), 0.5) == [(id_, 1.0)]
+    assert b.find(b"Compute 99 + 36 - 8 * 5 + 19", 0.0) == [] and b.find("Who wrote War And Peace, Leo Tolstoy or Fyodor Dostoevsky?".encode(), 0.5) == []
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(59)]
+    b = decontamination.Benchmark([("long", " ".join(words))])
+    assert b.find(" ".join(["before", *words[20:45], "after"]).encode(), 0.5) == [("long", 25 / 59)]
+    assert b.find(" ".join(["before", *words[20:32], "after"]).encode(), 0.5) == []
+
+
 def test_contamination(spark):
     d = "/root/testdata/sf0.01"
     docs, bench = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
