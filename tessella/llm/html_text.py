@@ -21,10 +21,13 @@ from pyspark.sql import types as T
 
 from tessella.llm.common import text_of
 
+#: A quote opens a value only after "=", as in browsers, and a value ends at its closing quote however far that is. A quote
+#: that is never closed is a character as any other; a tag whose end is never reached so ends at the first ">".
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+>|[^>]*>)", re.DOTALL
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+>|[^>]*>)", re.DOTALL
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_READ = frozenset("class id role style hidden aria-hidden".split())
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
@@ -72,6 +75,8 @@ def _element_odds(tag: str, attributes: str) -> float:
     worst, best = 0.0, 0.0
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name not in _READ:
+            continue
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             worst = -12.0
         elif name in ("class", "id", "role"):

@@ -40,6 +40,16 @@ def test_odd_pages():
     assert len(H.main_text("<article>" + "<p>word</p>" * 3000 + "</article>").split("\n")) == 3000
 
 
+@pytest.mark.parametrize("n", [10, 4000, 5000, 300_000])
+def test_values_of_any_length(n):
+    value = "x" * n + " => y <nav> menu class='sidebar' hidden "
+    body = "<p>Words of the article, enough of them to count as a paragraph.</p>"
+    assert H.main_text(f'<article data-x="{value}">{body}</article>') == "Words of the article, enough of them to count as a paragraph."
+    assert H.main_text(f"<article data-x='{value.replace(chr(39), chr(34))}'>{body}</article>") == "Words of the article, enough of them to count as a paragraph."
+    stray = f"<article><p title=it's>Words one, enough of them to count as a paragraph of text.</p>{'<p>more of these words here</p>' * (n // 30)}<p>don't</p></article>"
+    assert H.main_text(stray).startswith("Words one, enough") and H.main_text(stray).endswith("don't")
+
+
 def brute(odds, edges):
     best = None
     for mask in range(1 << len(odds)):
