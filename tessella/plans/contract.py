@@ -411,7 +411,7 @@ def maxsim_topk(spark, sf_dir):
 
 @query()
 def ann_topk(spark, sf_dir):
-    """The best ten by codes, with exact scores; tests hold their recall."""
+    """The best ten by codes; blocks that the codes cannot rule out are scored too, so none of the best is missed."""
     import numpy as np
 
     q = np.array([r["qvec"] for r in _query_vectors(spark, sf_dir, 1).orderBy("qpos").collect()], np.float32)  # one query's vectors
