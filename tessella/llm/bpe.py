@@ -1,9 +1,10 @@
 """BPE encoding and decoding by dynamic programming over prefixes.
 
 In a byte pair encoding every prefix of a pre-token has exactly one last token: the token that ends there, starts where
-another prefix ends, and stands beside that prefix's last token as merging itself would leave the two. An automaton
-yields every token that is a suffix of the prefix; the pair test picks the one; the back-pointers give the ids. The
-tokenizer's file says the vocabulary and the merges; the tokenizers library itself is not used.
+another prefix ends, and stands beside that prefix's last token as merging itself would leave the two. A suffix-matching
+automaton (Aho-Corasick over the vocabulary) yields every token that is a suffix of the prefix; the pair test picks the
+one; the back-pointers give the ids. The tokenizer's file says the vocabulary and the merges; the tokenizers library
+itself is not used.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import CHUNK, text_of
+from tessella.llm.common import CHUNK, held, text_of
 
 #: The byte-level pattern that cuts a text into pre-tokens (fixed by the tokenizer's format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -34,9 +35,9 @@ def byte_letters() -> dict[str, int]:
 
 
 class Bpe:
-    """Encoder and decoder of one tokenizer file. ``keep``: chunks whose ids are remembered at most."""
+    """Encoder and decoder of one tokenizer file. ``keep``: chunks in a generation of those whose ids are remembered."""
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 150_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
@@ -59,13 +60,20 @@ class Bpe:
                 raise ValueError(f"two merges make the token {i}: prefixes have no unique last token")
             self.merge[vocab[a], vocab[b]] = self.made[i] = rank
             self.parts[i] = vocab[a], vocab[b]
-        self.suffixes = ahocorasick.Automaton()
+        self.size = list(map(len, self.bytes))
+        self.suffixes = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for i in vocab.values():
-            self.suffixes.add_word(self.bytes[i].decode("latin-1"), (len(self.bytes[i]), i))
+            self.suffixes.add_word(self.bytes[i].decode("latin-1"), i)
         self.suffixes.make_automaton()
         self._pretoken = regex.compile(PATTERN)
-        self.known = _Known(self.encode_chunk, keep)
-        self.pretokens = _Known(lambda p: self.encode_pretoken(p.encode()), keep // 2)
+        self._keep = keep
+        self.forget()
+
+    def forget(self) -> None:
+        """Start with nothing remembered."""
+        self.known = _Known(self.encode_chunk, self._keep)
+        self.pretokens = _Known(lambda p: self.encode_pretoken(p.encode()), self._keep // 4)
+        self.fitting: dict[int, bool] = {}
 
     def fits(self, a: int, b: int) -> bool:
         """Whether merging the bytes of ``a`` and ``b`` together leaves just these two tokens.
@@ -88,22 +96,34 @@ class Bpe:
                 return True
 
     def encode_pretoken(self, data: bytes) -> list[int]:
-        n, fits = len(data), self.fits
-        last = [-1] * (n + 1)
-        start = [0] * (n + 1)
-        for end, (size, token) in self.suffixes.iter(data.decode("latin-1")):
-            end += 1
-            if last[end] < 0:
-                at = end - size
-                if at == 0 or fits(last[at], token):
-                    last[end], start[end] = token, at
+        n, size, fitting = len(data), self.size, self.fitting
+        last = [0] * (n + 1)
+        done = 0  # prefixes whose last token is known; one more with each place of the text
+        for end, token in self.suffixes.iter(data.decode("latin-1")):
+            if end < done:
+                continue
+            at = done + 1 - size[token]
+            if at:
+                pair = last[at] << 32 | token
+                fit = fitting.get(pair)
+                if fit is None:
+                    if len(fitting) >= 2 * self._keep:
+                        fitting.clear()
+                    fit = fitting[pair] = self.fits(last[at], token)
+                if not fit:
+                    continue
+            done += 1
+            last[done] = token
         ids = []
         while n:
             ids.append(last[n])
-            n = start[n]
+            n -= size[last[n]]
         return ids[::-1]
 
     def encode_chunk(self, chunk: str) -> tuple[int, ...]:
+        word = chunk[:-1] if chunk[-1] in ",.;:!?" else chunk
+        if word.isalpha() or word[1:].isalpha() and word[0] == " ":  # a word and perhaps a mark: no need for the pattern
+            return tuple(self.pretokens[word]) if word is chunk else (*self.pretokens[word], *self.pretokens[chunk[-1]])
         return tuple(chain.from_iterable(map(self.pretokens.__getitem__, self._pretoken.findall(chunk))))
 
     def encode(self, text: str) -> list[int]:
@@ -122,28 +142,29 @@ class Bpe:
 
 
 class _Known(dict):
-    """Ids by string, worked out when first asked for. Long strings are not kept; a full table starts anew."""
+    """Ids by string, worked out when first asked for. Long strings are not kept. Of the others two generations of
+    ``most`` are: when the younger is full it becomes the older, and what is asked for again moves on."""
 
     def __init__(self, work, most: int):
         super().__init__()
         self.work, self.most = work, most
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, key: str) -> tuple[int, ...]:
-        ids = self.work(key)
+        ids = self.older.get(key)
+        if ids is None:
+            ids = self.work(key)
         if len(key) <= 40:
             if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[key] = ids
         return ids
 
 
-_LOADED: dict[str, Bpe] = {}
-
-
 def load(path: str) -> Bpe:
-    if path not in _LOADED:
-        _LOADED[path] = Bpe(path)
-    return _LOADED[path]
+    """The tokenizer in ``path``, read once in each Python worker and held there until another operator runs."""
+    return held(f"bpe {path}", lambda: Bpe(path))
 
 
 def _list_array(lists: list[list[int]]) -> pa.ListArray:
@@ -163,6 +184,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path)
+        bpe.forget()  # a task remembers for itself: workers that idle hold no more than the tables
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)
@@ -171,6 +193,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                 if decode_too:
                     out.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
+        bpe.forget()
 
     return docs.select(F.col(id_col), text_of(text_col).alias("text")).mapInArrow(run, T.StructType(fields))
 

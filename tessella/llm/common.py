@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +45,30 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(owner: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept in this Python worker under ``owner`` between tasks.
+
+    Spark's workers live on from stage to stage, so a worker holds one owner's tables at a time: asking for another's
+    frees what was there. Each owner bounds its own.
+    """
+    if owner not in _HELD:
+        release()
+        _HELD[owner] = make()
+    return _HELD[owner]
+
+
+def release() -> None:
+    """Free what an earlier stage left in this Python worker, and give the memory back to the system."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # where there is no glibc
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Scratch:
     """Tables written to the shared folder, so that a lost executor never costs more than the stage at hand."""
 

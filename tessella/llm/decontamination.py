@@ -9,7 +9,8 @@ than half placeholders are not looked up as templates. All windows are also look
 lower case without the marks around them, so what a text quotes word for word is found whatever it is made of.
 
 An item is in a text if the accepted windows cover at least half of its words, or if they hold RUN words of it in a row
-word for word. The benchmark's windows are held by every task, in shards of a fixed size; a benchmark of more shards
+word for word. An item of under four words, which would be met by chance in any text, is in a text that has it as a line
+of its own. The benchmark's windows are held by every task, in shards of a fixed size; a benchmark of more shards
 takes as many passes.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import Scratch, free_name
+from tessella.llm.common import Scratch, free_name, release
 
 WINDOW, LEAST = 8, 4
 #: Words in a row that are a quotation by themselves, as in the usual check by 13-grams.
@@ -65,18 +66,15 @@ class _Words(dict):
         low = c.lower()
         kind |= UNIT * (low in UNITS)
         value = xxhash.xxh3_64_intdigest(low.encode()) & ~_FLAGS | kind
-        if len(self) > 400_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = value
         return value
 
 
-_WORDS = _Words()
-
-
-def templates(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def templates(words: list[bytes], known: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each word that is more than marks: its place, its template symbol, whether that is a placeholder, and its hash."""
-    v = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    v = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     kind = (v & np.uint64(_FLAGS)).astype(np.int64)
     begins = np.concatenate([[True], kind[:-1] & ENDS > 0])[: len(v)]  # the first word of a sentence is no name
     real = np.flatnonzero(kind & NOTHING == 0)
@@ -132,12 +130,16 @@ class Benchmark:
 
     def __init__(self, items: list[tuple]):
         self.items = []
+        self.words = _Words()
+        self.short: dict[tuple[str, ...], list] = {}  # items of under LEAST words, by these
         shaped, verbatim, some, all_ = [], [], [], []
         for id_, text in items:
             words = (text or "").encode().split()
-            real, symbols, slots, own = templates(words)
+            real, symbols, slots, own = templates(words, self.words)
             size = min(WINDOW, len(symbols))
             if size < LEAST:
+                if size:
+                    self.short.setdefault(tuple(core(words[i].decode("utf-8", "replace")).lower() for i in real), []).append(id_)
                 continue
             self.items.append((id_, symbols, slots, [core(words[i].decode("utf-8", "replace")).lower() for i in real], size, own))
             plain = np.convolve(~slots, np.ones(size, np.int64), "valid")
@@ -151,10 +153,11 @@ class Benchmark:
 
     def find(self, text: bytes, share: float) -> list[tuple]:
         """(item id, share of its words that is covered) of the items in ``text``, in the items' order."""
+        short = self._short_lines(text) if self.short else []
         words = text.split()
         if not self.items or not words:
-            return []
-        real, symbols, _, plain = templates(words)
+            return short
+        real, symbols, _, plain = templates(words, self.words)
         covered: dict[int, np.ndarray] = {}
         quoted: set[int] = set()
         for (item, shift), places in self._lined(self.verbatim, plain).items():
@@ -183,7 +186,12 @@ class Benchmark:
                 else:
                     filled.update(new)
                     covered.setdefault(item, np.zeros(len(own), bool))[at : at + size] = True
-        return [(self.items[k][0], float(c.mean())) for k, c in sorted(covered.items()) if c.mean() >= share or k in quoted]
+        return short + [(self.items[k][0], float(c.mean())) for k, c in sorted(covered.items()) if c.mean() >= share or k in quoted]
+
+    def _short_lines(self, text: bytes) -> list[tuple]:
+        """The short items that are a line of the text."""
+        lines = {tuple(filter(None, (core(w.decode("utf-8", "replace")).lower() for w in words))) for line in text.split(b"\n") if len(words := line.split()) <= 2 * LEAST}
+        return [(id_, 1.0) for line in sorted(lines & self.short.keys()) for id_ in self.short[line]]
 
     def _lined(self, known: _Windows, symbols: np.ndarray) -> dict[tuple[int, int], list[int]]:
         """The places in an item that the text has, by item and alignment."""
@@ -202,8 +210,7 @@ def contamination(
 ) -> DataFrame:
     """All columns of ``docs`` and last _items (see free_name): the items found in the text, with the share of their words, by item id.
 
-    Null texts hold no item; items that are null or have under four template words are not looked for; repeated rows
-    keep theirs; with an empty benchmark nothing is found. ``most_items``: items that a task holds at once.
+    Null texts hold no item; items that are null or have no word are not looked for; repeated rows keep theirs; with an empty benchmark nothing is found. ``most_items``: items that a task holds at once.
     """
     id_type = benchmark.schema[item_col].dataType
     found_type = T.ArrayType(T.StructType([T.StructField("item", id_type), T.StructField("share", T.DoubleType())]))
@@ -218,6 +225,7 @@ def contamination(
         schema = out.schema
 
         def run(batches: Iterator[pa.RecordBatch], task=task, n=n, where=where) -> Iterator[pa.RecordBatch]:
+            release()
             for whole in batches:
                 for begin in range(0, whole.num_rows, 512):
                     batch = whole.slice(begin, 512)

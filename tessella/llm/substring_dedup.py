@@ -21,24 +21,85 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import Scratch, free_name, text_of
+from tessella.llm.common import Scratch, free_name, release, text_of
 
 WINDOW, ANCHOR = 20, 8
 SIDE = WINDOW - ANCHOR
 _PIECE = re.compile(rb"[^ \t-\r]+[ \t-\r]*")
+#: Contexts that a task remembers having sent.
+SENT = 1 << 17
 #: Stands for a null id, which comes after all others.
 LAST_ID = (1 << 63) - 1
 
 
-def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+#: Bytes that a word's hash is reckoned over in one go; a longer word is hashed by itself.
+_RUN = 1 << 16
+_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_VALUE = np.array([xxhash.xxh3_64_intdigest(bytes([i])) | 1 for i in range(256)], np.uint64)
+
+
+def _powers(base: int) -> np.ndarray:
+    out = np.full(_RUN + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_BASE = 0x9E3779B97F4A7C15
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+
+class Words:
+    """The words of a text by their places in it: where each begins and ends, in bytes."""
+
+    def __init__(self, text: bytes):
+        self.text = text
+        data = np.frombuffer(text, np.uint8)
+        blank = np.ones(len(data) + 2, np.int8)
+        blank[1:-1] = _BLANK[data]
+        turn = np.diff(blank)
+        self.begin, self.end = np.flatnonzero(turn == -1), np.flatnonzero(turn == 1)
+        odd = self.begin[1:] - self.end[:-1] != 1
+        odd |= data[self.end[:-1]] != 32
+        self.odd = np.concatenate([[0], np.cumsum(odd)])  # words up to each that something else than one space follows
+
+    def __len__(self) -> int:
+        return len(self.begin)
+
+    def hashes(self) -> np.ndarray:
+        """A hash of each word that depends on its bytes alone."""
+        out = np.zeros(len(self), np.uint64)
+        at = 0
+        while at < len(self):
+            low = int(self.begin[at])
+            to = int(np.searchsorted(self.end, low + _RUN, "right"))
+            if to == at:
+                out[at] = xxhash.xxh3_64_intdigest(self.text[low : self.end[at]])
+                at += 1
+                continue
+            high = int(self.end[to - 1])
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(_VALUE[np.frombuffer(self.text, np.uint8, high - low, low)] * _UP[: high - low], out=sums[1:])
+            begin = self.begin[at:to] - low
+            out[at:to] = (sums[self.end[at:to] - low] - sums[begin]) * _DOWN[begin]
+            at = to
+        out ^= out >> np.uint64(32)
+        return out
+
+    def joined(self, a: int, b: int) -> bytes:
+        """Words ``a`` up to ``b`` with one space between."""
+        found = self.text[self.begin[a] : self.end[b - 1]]
+        return found if self.odd[a] == self.odd[b - 1] else b" ".join(found.split())
+
+
+def anchors(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of a text's anchors; every window of twenty words holds one, chosen by its words alone."""
     if len(words) < WINDOW:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    h = words.hashes()
     step = 1
     for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9):
         h = h[:-step] * np.uint64(m) + h[step:]
@@ -192,7 +253,7 @@ def shard_spans(contexts: list[tuple[tuple, int, bytes]]) -> list[list[tuple[int
 
 def _shard_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans to remove, from contexts whose rows come with equal anchors together."""
-    out: list[tuple[int, int, int, int]] = []
+    out: list[tuple[int, bytes, int, int]] = []
 
     def work(rows: list[tuple]) -> None:
         texts: dict[int, tuple[int, bytes]] = {}
@@ -215,7 +276,7 @@ def _shard_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> pa.RecordBatch:
         cols = list(zip(*out, strict=True)) if out else [[]] * 4
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32())
         batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "th", "from", "to"])
         out.clear()
         return batch
@@ -236,8 +297,11 @@ def _shard_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+#: Windows that a task holds at most.
+MOST_COMMON = 50_000
 WINDOW_NAMES = ["w1", "w2", "id", "th", "from", "to", "done"]
-WINDOW_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+WINDOW_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_())
+WINDOW_SCHEMA = "w1 long, w2 long, id long, th binary, from int, to int, done boolean"
 
 
 def _hot_spans(windows: DataFrame, scratch: Scratch, limit: int) -> DataFrame:
@@ -251,7 +315,7 @@ def _hot_spans(windows: DataFrame, scratch: Scratch, limit: int) -> DataFrame:
     windows = scratch.keep(windows)
     fresh = windows.filter("NOT done")
     first = scratch.keep(fresh.groupBy("w1", "w2").agg(F.min(F.struct("id", "th", F.col("from").alias("at"))).alias("first"), F.count("*").alias("n")).filter("n > 1"))
-    limit = max(limit, windows.count() // 1_000_000)  # so that there are at most a million common windows
+    limit = max(limit, windows.count() // MOST_COMMON)
     rows = first.filter(F.col("n") > limit).select("w1", "w2", "first.*").toLocalIterator()
     common = {(r["w1"], r["w2"]): (r["id"], r["th"], r["at"]) for r in rows}
 
@@ -273,20 +337,27 @@ def _hot_spans(windows: DataFrame, scratch: Scratch, limit: int) -> DataFrame:
             columns = list(zip(*out, strict=True)) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, WINDOW_KINDS, strict=True)], names=WINDOW_NAMES)
 
-    settled = windows.mapInArrow(settle, "w1 long, w2 long, id long, th int, from int, to int, done boolean")
+    settled = windows.mapInArrow(settle, WINDOW_SCHEMA)
     rest = settled.filter("NOT done").join(first.filter(F.col("n") <= limit), ["w1", "w2"])
     rest = rest.filter(F.struct("id", "th", F.col("from").alias("at")) > F.col("first"))
     columns = ["id", "th", "from", "to"]
     return settled.filter("done").select(*columns).unionAll(rest.select(*columns))
 
 
+def text_key(docs: DataFrame, id_: Column, text: Column) -> Column:
+    """What tells apart texts of one id: 128 bits of the text; nothing where every id comes once."""
+    once = docs.select(id_.alias("id")).groupBy("id").count().filter("count > 1").isEmpty()
+    return F.lit(b"").cast("binary") if once else F.unhex(F.md5(text.cast("binary")))
+
+
 def removed_spans(docs: DataFrame, scratch: Scratch, most_in_shard: int = 4000, most_mb: float = 128.0) -> DataFrame:
-    """id, th and spans (of word numbers, from and to) of the texts of ``docs`` (id, th, text) that lose words."""
+    """id, th and spans (of word numbers, from and to) of the texts of ``docs`` (id, th BINARY, text) that lose words."""
 
     def list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
-                found = [anchors(t.split())[1] for t in whole.slice(at, 1024).column(0).to_pylist()]
+                found = [anchors(Words(t))[1] for t in whole.slice(at, 1024).column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], names=["a"])
 
     counts = docs.select("text").mapInArrow(list_anchors, "a long").groupBy("a").agg(F.count("*").alias("n"))
@@ -296,7 +367,7 @@ def removed_spans(docs: DataFrame, scratch: Scratch, most_in_shard: int = 4000,
     hot = np.sort(np.array([r["a"] for r in repeated.filter(F.col("n") > limit).select("a").toLocalIterator()], np.int64))
     bloom = Bloom.build(repeated, total["k"]) if total["k"] * 1.5 < most_mb * 1e6 else None
 
-    def candidates(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def candidates(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at, a = anchors(words)
         if bloom is not None and len(a):
             found = bloom.holds(a)
@@ -307,26 +378,25 @@ def removed_spans(docs: DataFrame, scratch: Scratch, most_in_shard: int = 4000,
         return at, a, hot[k] == a
 
     names = ["a", "c", "left", "id", "th", "at", "text"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set = set()
+        release()
+        sent: list[int | None] = [None] * SENT  # contexts whose text the task has sent already, each in the one place that its hash allows
         for whole in batches:
             for begin in range(0, whole.num_rows, 512):
                 rows = []
                 batch = whole.slice(begin, 512)
                 for id_, th, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                    words = text.split()
+                    words = Words(text)
+                    n = len(words)
                     at, a, is_hot = candidates(words)
-                    for p, key in zip(at[~is_hot].tolist(), a[~is_hot].tolist()):
+                    for p, key in zip(at[~is_hot].tolist(), a[~is_hot].tolist(), strict=True):
                         left = min(p, SIDE)
-                        context = b" ".join(words[p - left : p + ANCHOR + SIDE])
+                        context = words.joined(p - left, min(n, p + ANCHOR + SIDE))
                         c = xxhash.xxh3_64_intdigest(context, left) - (1 << 63)
-                        known = (key, c) in sent
-                        if not known:
-                            if len(sent) > 500_000:
-                                sent.clear()
-                            sent.add((key, c))
+                        known = sent[c % SENT] == c
+                        sent[c % SENT] = c
                         rows.append((key, c, left, id_, th, p, None if known else context))
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
@@ -337,13 +407,15 @@ def removed_spans(docs: DataFrame, scratch: Scratch, most_in_shard: int = 4000,
                 rows = []
                 batch = whole.slice(begin, 512)
                 for id_, th, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                    words = text.split()
+                    words = Words(text)
                     at, _, is_hot = candidates(words)
+                    if not is_hot.any():
+                        continue
                     starts = np.unique((at[is_hot][:, None] - np.arange(SIDE + 1)).ravel())
                     seen: set = set()
                     again: list[list[int]] = []  # runs of windows that the text itself has before; only new ones are compared
                     for s in starts[(starts >= 0) & (starts <= len(words) - WINDOW)].tolist():
-                        h = xxhash.xxh3_128_intdigest(b" ".join(words[s : s + WINDOW]))
+                        h = xxhash.xxh3_128_intdigest(words.joined(s, s + WINDOW))
                         if h not in seen:
                             seen.add(h)
                             rows.append(((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), id_, th, s, s + WINDOW, False))
@@ -356,12 +428,12 @@ def removed_spans(docs: DataFrame, scratch: Scratch, most_in_shard: int = 4000,
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, WINDOW_KINDS, strict=True)], names=WINDOW_NAMES)
 
     source = docs.select("id", "th", "text")
-    rows = source.mapInArrow(contexts, "a long, c long, left int, id long, th int, at int, text binary")
+    rows = source.mapInArrow(contexts, "a long, c long, left int, id long, th binary, at int, text binary")
     if bloom is None:
         rows = rows.join(repeated.select("a"), "a", "left_semi")
-    spans = rows.repartition("a").sortWithinPartitions("a").mapInArrow(_shard_task, "id long, th int, from int, to int")
+    spans = rows.repartition("a").sortWithinPartitions("a").mapInArrow(_shard_task, "id long, th binary, from int, to int")
     if len(hot):
-        spans = spans.unionAll(_hot_spans(source.mapInArrow(hot_windows, "w1 long, w2 long, id long, th int, from int, to int, done boolean"), scratch, limit))
+        spans = spans.unionAll(_hot_spans(source.mapInArrow(hot_windows, WINDOW_SCHEMA), scratch, limit))
     return spans.groupBy("id", "th").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
 
 
@@ -370,7 +442,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
     (the same with the white space between them as it was; unchanged where nothing goes); see free_name.
 
     Null texts have no words. Null ids come after all others. Rows of one id and text are one document, and none of them
-    is earlier than the others; rows of one id with different texts are ordered by a hash of the text. Texts under twenty
+    is earlier than the others; rows of one id with different texts are ordered by a 128-bit hash of the text. Texts under twenty
     words stay whole. An empty table gives an empty result.
     """
     prefix = "_s_"
@@ -378,7 +450,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
         prefix = f"_{prefix}"
     scratch = Scratch(docs.sparkSession)
     id_ = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
-    th = F.hash(text_of(text_col))
+    th = text_key(docs, id_, text_of(text_col))
     spans = removed_spans(docs.select(id_.alias("id"), th.alias("th"), text_of(text_col).cast("binary").alias("text")), scratch, most_in_shard)
     spans = spans.select(F.col("id").alias(f"{prefix}id"), F.col("th").alias(f"{prefix}th"), F.col("spans").alias(f"{prefix}spans"))
     keyed = docs.withColumns({f"{prefix}id": id_, f"{prefix}th": th})
@@ -388,6 +460,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
     where, n = docs.columns.index(text_col), len(docs.columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for whole in batches:
             for begin in range(0, whole.num_rows, 256):
                 batch = whole.slice(begin, 256)

@@ -119,7 +119,7 @@ def test_substring_dedup(spark, most, mb):
     rows = odd_texts()
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     scratch = Scratch(spark)
-    keyed = df.select(F.col("doc_id").alias("id"), F.lit(0).alias("th"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    keyed = df.select(F.col("doc_id").alias("id"), F.lit(b"").alias("th"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     spans = {r["id"]: r["spans"] for r in substring_dedup.removed_spans(keyed, scratch, most, mb).collect()}
     want = slow_removed(rows)
     for i, t in rows:
@@ -170,7 +170,9 @@ def test_templates():
     mixed = other.replace("Bella going", "Carla going")  # Anna can't be both
     assert b.find(mixed.encode(), 0.0)[0][1] < 1.0
     assert b.find(b"nothing of the kind is said in these words at all", 0.0) == []
-    assert decontamination.Benchmark([("x", "one two"), ("y", None)]).find(b"one two", 0.0) == []
+    short = decontamination.Benchmark([("x", "One two."), ("y", None), ("z", "...")])
+    assert short.find(b"one two", 0.5) == [("x", 1.0)] == short.find(b"said:\n One, TWO \nand more", 0.5)
+    assert short.find(b"and then one two of them", 0.5) == [] == short.find(b"", 0.5)
 
 
 def test_verbatim_items_are_found():
