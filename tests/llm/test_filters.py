@@ -156,3 +156,59 @@ def test_toxicity_on_odd_tables(spark):
     out = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
     assert len(out) == 4 and all(0 <= r["score"] < 0.3 for r in out)
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels.limit(0))).count() == 0
+
+
+def test_chi2():
+    assert abs(quality.chi2_below(6.345811, 7) - 0.5) < 1e-6 and abs(quality.chi2_quantile(0.9999, 7) - 29.8775) < 1e-3
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200_000, 7))
+    d = (x * x).sum(1)
+    inner = x[d <= np.median(d)]
+    assert abs(quality.consistency(0.5, 7) * inner.var(0).mean() - 1) < 0.02
+
+
+def mcd_by_force(x, starts=300):
+    """The least regularised log-determinant over many random starts of exact concentration steps."""
+    n, p = x.shape
+    h = (n + p + 1) // 2
+    floor = np.diag(np.square(quality.FLOOR))
+    rng, best = np.random.default_rng(5), np.inf
+    for _ in range(starts):
+        half, before = rng.choice(n, p + 1, replace=False), np.inf
+        while True:
+            part = x[half]
+            cov = quality.consistency(h / n, p) * np.cov(part.T, bias=True) + floor
+            det = np.linalg.slogdet(cov)[1]
+            if len(half) == h and det > before - 1e-9:
+                break
+            before = det if len(half) == h else np.inf
+            diff = x - part.mean(0)
+            half = np.argsort(np.einsum("ij,jk,ik->i", diff, np.linalg.inv(cov), diff), kind="stable")[:h]
+        best = min(best, before)
+    return best
+
+
+def test_mcd_reaches_the_least_determinant(spark):
+    """Against brute force on small groups with a third of the rows far off; one group has constant features."""
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(500)]
+    rows = []
+    for i in range(240):
+        text = [str(w) for w in rng.choice(words, rng.integers(30, 120))]
+        if i % 3 == 0:
+            text = [w.upper() + "#$" for w in text]
+        elif i % 2:
+            text = [w + "," * int(rng.integers(0, 2)) for w in text]
+        rows.append((i, " ".join(text), "en", "a" if i < 120 else None))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    stats = quality.Scratch(spark).keep(quality.statistics(df, "_q_", ["doc_id", "lang", "source"]))
+    model = quality.fit(stats, "_q_", min_rows=20)
+    x = stats.select("source", quality.F.array(*quality.vector("_q_")).alias("x")).collect()
+    got = {r["cell"]: np.linalg.slogdet(np.linalg.inv(np.array(r["inv"]).reshape(7, 7)))[1] for r in model.bulk.collect()}
+    cells = {r["full"]: r["cell"] for r in model.cells.collect()}
+    assert len(got) == 2
+    for source, name in (("a", '{"l":"en","s":"a"}'), (None, '{"l":"en"}')):
+        force = mcd_by_force(np.array([r["x"] for r in x if r["source"] == source]))
+        assert got[cells[name]] < force + 0.35, (source, got[cells[name]], force)
+    far = {r["doc_id"]: r["kept"] for r in quality.judge(df).collect()}
+    assert not any(far[i] for i in range(0, 240, 3)) and np.mean([far[i] for i in range(240) if i % 3]) > 0.97
