@@ -38,8 +38,14 @@ WITH d AS (
 ), n(label, notice) AS (VALUES {_NOTICES}
 ), l AS (
   SELECT DISTINCT k, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS line FROM d, unnest(string_split(t, chr(10))) x(line)
+), t AS (
+  SELECT label, list_distinct(string_split(notice, ' ')) AS tw, (5 * len(string_split(notice, ' ')) + 3) // 4 AS run FROM n
+), c AS (
+  SELECT k, words, label, tw, run FROM w, t WHERE len(list_intersect(tw, words)) >= 0.8 * len(tw)
 ), s AS (
-  SELECT k, label, len(list_intersect(line, list_distinct(string_split(notice, ' ')))) / len(list_distinct(string_split(notice, ' '))) AS share FROM l, n
+  SELECT k, label, len(list_intersect(line, tw)) / len(tw) AS share FROM l, t
+  UNION ALL
+  SELECT k, label, len(list_intersect(tw, words[i : i + run - 1])) / len(tw) AS share FROM c, unnest(range(1, len(words) + 1)) x(i) WHERE list_contains(tw, words[i])
 ), m AS (
   SELECT k, list(DISTINCT label) AS more, max(share) AS share FROM s WHERE share >= 0.8 GROUP BY k
 )
@@ -81,10 +87,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Fixed by the query's contract.
 BASE_RULES = (url_filter.RuleList(("org/", "com/fr/"), "allow"), url_filter.RuleList(("example.org/es/", "example.org/en/1", "com/de/"), "block"))
-#: The method's own list, asked where no base rule fits: hosts of adverts, adult pages and betting.
-OWN_RULES = url_filter.RuleList(
-    tuple(f"{host}.example.{end}/" for host in ("ads-track", "adult-x", "free-bets") for end in ("com", "net", "org")), "block", tier=1
-)
+#: The method's own list, asked where no base rule fits: hosts of adverts, trackers, adult pages and betting, made from
+#: name patterns. A list from a file or table goes in its place as another RuleList.
+OWN_KINDS = ("ads", "adserver", "banner", "tracker", "pixel", "popunder", "adult", "xxx", "casino", "poker", "betting", "slots")
+OWN_FORMS = ("{}-track.example", "{}-x.example", "free-{}.example", "{}1.example", "{}2.example", "my{}.example", "{}-net.example", "{}-hub.example", "top-{}.example", "{}-cdn.example")
+OWN_ENDS = ("com", "net", "org", "info", "biz", "io", "co", "site")
+OWN_RULES = url_filter.RuleList(tuple(f"{form.format(kind)}.{end}/" for kind in OWN_KINDS for form in OWN_FORMS for end in OWN_ENDS), "block", tier=1)
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,15 +112,17 @@ WITH u AS (
 ), r(rhost, rpath, verdict) AS (
   VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
 ), own(host) AS (
-  SELECT a || '.example.' || b FROM (VALUES ('ads-track'), ('adult-x'), ('free-bets')) x(a), (VALUES ('com'), ('net'), ('org')) y(b)
+  SELECT replace(f, '{}', k) || '.' || e FROM (VALUES <kinds>) x(k), (VALUES <forms>) y(f), (VALUES <ends>) z(e)
 ), best AS (
   SELECT page_id, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(verdict, length(rhost || rpath)) AS verdict
   FROM h, r WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id
 )
 SELECT h.page_id, h.host, h.path, best.rule,
-       coalesce(best.verdict, CASE WHEN starts_with(h.path, '/') AND EXISTS (SELECT 1 FROM own WHERE h.host = own.host OR ends_with(h.host, '.' || own.host)) THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(best.verdict, CASE WHEN starts_with(h.path, '/') AND list_has_any((SELECT list(host) FROM own), [array_to_string(string_split(h.host, '.')[-3:], '.')]) THEN 'block' ELSE 'allow' END) AS verdict
 FROM h LEFT JOIN best ON h.page_id = best.page_id
 """
+for _name, _values in (("kinds", OWN_KINDS), ("forms", OWN_FORMS), ("ends", OWN_ENDS)):
+    OP6_SQL = OP6_SQL.replace(f"<{_name}>", ", ".join(f"('{v}')" for v in _values))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,10 +17,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import Scratch, components, release, text_of
+from tessella.llm.common import Scratch, components, free_name, release, text_of
 
 SHINGLE, SEED, REACH, FAN = 3, 42, 3, 8
 
@@ -41,19 +42,21 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 512) -> DataFrame:
-    """``id_col`` and fp (the 64 bits as a BIGINT) of every text; null texts are empty."""
-    schema = T.StructType([docs.schema[id_col], T.StructField("fp", T.LongType())])
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 512, fp_col: str = "fp", keep: list[str] | None = None) -> DataFrame:
+    """``id_col`` (or the columns ``keep``) and ``fp_col`` (the 64 bits as a BIGINT) of every text; null texts are empty."""
+    keep = [id_col] if keep is None else keep
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(fp_col, T.LongType())])
+    n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)
-                fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=[id_col, "fp"])
+                fps = np.array([fingerprint(t) for t in batch.column(n).to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(fps)], names=schema.names)
 
-    return docs.select(F.col(id_col), text_of(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(c) for c in keep], text_of(text_col).cast("binary").alias(free_name(docs, "_text"))).mapInArrow(run, schema)
 
 
 def gray_rank(fps: np.ndarray) -> np.ndarray:
@@ -161,55 +164,93 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = to != rep
         return pa.RecordBatch.from_arrays([pa.array(rep[out]), pa.array(to[out])], names=names)
 
-    held: list[np.ndarray] = []
+    held: list[list[np.ndarray]] = []
+    n, enough = 0, 1 << 18
     for batch in batches:
-        now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-        held = [np.concatenate(x) for x in zip(held, now, strict=True)] if held else now
-        if len(held[0]) >= 1 << 18:
-            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last top node may go on
+        held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)])
+        n += batch.num_rows
+        if n >= enough:
+            top, fp, rep = map(np.concatenate, zip(*held, strict=True))
+            cut = int(np.searchsorted(top, top[-1]))  # the last top node may go on
             if cut:
-                yield links(*(x[:cut] for x in held))
-                held = [x[cut:] for x in held]
-    if held and len(held[0]):
-        yield links(*held)
+                yield links(top[:cut], fp[:cut], rep[:cut])
+            held, n = [[top[cut:], fp[cut:], rep[cut:]]], n - cut
+            enough = max(1 << 18, 2 * n)  # so that what is held is put together a few times only
+    if n:
+        yield links(*map(np.concatenate, zip(*held, strict=True)))
 
 
 def top_nodes() -> Column:
-    """The sixteen top nodes of a fingerprint: which blocks, and their 28 bits."""
+    """The sixteen top nodes of a fingerprint: which blocks with their 28 bits (top), and the 36 bits below it (rest)."""
     tops = []
     for i in range(4):
         turned = f"(shiftleft(fp, {16 * i}) | shiftrightunsigned(fp, {64 - 16 * i}))" if i else "fp"
         for j in range(4):
             block = f"shiftleft(shiftrightunsigned({turned}, 48), 12)"
-            rest = f"(shiftrightunsigned({turned}, {36 - 12 * j}) & 4095)"
-            tops.append(f"{(i * 4 + j) << 28}L | {block} | {rest}")
+            chosen = f"(shiftrightunsigned({turned}, {36 - 12 * j}) & 4095)"
+            above = f"shiftleft(shiftrightunsigned({turned} & {(1 << 48) - 1}L, {48 - 12 * j}), {36 - 12 * j})"
+            below = f"({turned} & {(1 << (36 - 12 * j)) - 1}L)"
+            tops.append(f"named_struct('top', {(i * 4 + j) << 28}L | {block} | {chosen}, 'rest', {above} | {below})")
     return F.expr(f"array({', '.join(tops)})")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def split_nodes(tops: DataFrame, most: int, scratch: Scratch) -> DataFrame:
+    """``tops`` with every node of more than ``most`` entries split: two entries that differ in three bits at most agree in
+    one of four blocks of the bits below the node, so these make four finer nodes. After two splits 44 bits are shared,
+    and a node has 2^20 distinct entries at most."""
+    done = None
+    for widths in ((9, 9, 9, 9), (7, 7, 7, 6)):
+        hot = tops.groupBy("top").count().filter(F.col("count") > most).select("top")
+        hot = scratch.keep(hot)
+        if hot.isEmpty():
+            break
+        cold = tops.join(hot, "top", "left_anti").select("top", "rest", "fp", "rep")
+        done = cold if done is None else done.unionByName(cold)
+        total, before, finer = sum(widths), 0, []
+        for k, w in enumerate(widths):
+            low = total - before - w
+            chosen = f"(shiftrightunsigned(rest, {low}) & {(1 << w) - 1}L)"
+            rest = f"shiftleft(shiftrightunsigned(rest, {low + w}), {low}) | (rest & {(1 << low) - 1}L)"
+            finer.append(f"named_struct('top', xxhash64(top, {k}, {chosen}), 'rest', {rest})")
+            before += w
+        tops = tops.join(hot, "top", "left_semi").select(F.expr(f"inline(array({', '.join(finer)}))"), "fp", "rep")
+    return tops if done is None else done.unionByName(tops)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_in_node: int = 200_000) -> DataFrame:
     """``id_col``, fp and component_id: the smallest id reachable over fingerprints that differ in three bits at most.
 
     One row a row of ``docs``. Null texts are empty and have fingerprint zero, which links like any other; rows with a
     null id get their fingerprint, link nothing by themselves and carry the component of their fingerprint, if any;
-    repeated ids keep their rows; an empty table gives an empty result. Ids are integers.
+    repeated ids keep their rows; an empty table gives an empty result. Ids are integers. ``most_in_node``: entries of a
+    top node beyond which it is split.
     """
     scratch = Scratch(docs.sparkSession)
     prints = scratch.keep(fingerprints(docs, id_col, text_col))
     entries = scratch.keep(prints.groupBy("fp").agg(F.min(id_col).cast("long").alias("rep")))
-    tops = entries.filter("rep IS NOT NULL").select(F.explode(top_nodes()).alias("top"), "fp", "rep")
-    stars = tops.repartition("top").sortWithinPartitions("top").mapInArrow(_stars, "a long, b long")
+    tops = split_nodes(entries.filter("rep IS NOT NULL").select(F.inline(top_nodes()), "fp", "rep"), most_in_node, scratch)
+    stars = tops.select("top", "fp", "rep").repartition("top").sortWithinPartitions("top").mapInArrow(_stars, "a long, b long")
     found = components(stars, scratch)
     linked = entries.join(found, entries["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(linked, "fp").select(F.col(id_col), "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest id. Rows with a null id stay."""
-    found = near_duplicates(docs, id_col, text_col)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col)).distinct()
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    first = Scratch(docs.sparkSession).keep(found.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").select(id_col))
-    if first.isEmpty():
-        return kept
-    once = kept.join(first, id_col, "left_anti").unionByName(kept.join(first, id_col, "left_semi").dropDuplicates([id_col]))
-    return once.select(*docs.columns)
+    """``docs`` with one row of each component: that of its smallest id. Rows with a null id stay.
+
+    Where an id comes twice its rows are judged by their own fingerprints; of several rows of one component and its
+    smallest id the one with the least fingerprint, then hash of all columns, stays.
+    """
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.keep(near_duplicates(docs, id_col, text_col))
+    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col))
+    again = scratch.keep(found.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").select(id_col))
+    if again.isEmpty():
+        return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    once = docs.join(again, id_col, "left_anti").join(gone, id_col, "left_anti").select(*docs.columns)
+    fp, component, place = (free_name(docs, c) for c in ("_fp", "_component", "_place"))
+    rows = fingerprints(docs.join(again, id_col, "left_semi").select(*docs.columns), text_col=text_col, fp_col=fp, keep=docs.columns)
+    of = found.join(again, id_col, "left_semi").filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col), F.col("fp").alias(fp), F.col("component_id").alias(component)).distinct()
+    order = W.partitionBy(component).orderBy(fp, F.xxhash64(*docs.columns))
+    first = rows.join(of, [id_col, fp]).withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1)
+    return once.unionByName(first.select(*docs.columns))

@@ -7,7 +7,8 @@ listed; level 2 of the listed keys that pass level 1; and so on until nothing is
 where a key stops tells exactly whether it is listed, so urls are judged row by row with a few bit tests and no join.
 
 Level 0 is sized by the number of distinct keys of the universe so that its false positives number about as many as the
-listed keys; only these few are collected, and if there are more, level 0 is built anew with more bits.
+listed keys; only these few are collected, and if there are more, level 0 is built anew with more bits. Every task holds
+the cascades; for lists too long for that a join on the keys takes their place, with the same result.
 """
 
 from __future__ import annotations
@@ -95,24 +96,24 @@ def _rest(url: Column) -> Column:
 
 
 def asked_keys(host: Column, path: Column, lists: list[RuleList]) -> Column:
-    """The keys that a url asks about: suffixes of its host and prefixes of its path, of the sizes that rules have."""
+    """The keys that a url asks about: suffixes of its host and prefixes of its path, of the sizes that rules have.
+
+    The sizes are one array, so the expression stays as small however many there are.
+    """
     sizes = sorted({(r.partition("/")[0].count(".") + 1, len(r) - len(r.partition("/")[0])) for x in lists for r in x.rules})
+    if not sizes:
+        return F.array().cast("array<string>")
+    pairs = F.array(*[F.struct(F.lit(d).alias("depth"), F.lit(n).alias("length")) for d, n in sizes])
     labels = F.split(host, r"\.")
-    keys = []
-    for depth, length in sizes:
-        fits = (F.size(labels) >= depth) & (F.length(path) >= length) & (host != "")
-        keys.append(F.when(fits, F.concat(F.array_join(F.slice(labels, -depth, depth), "."), F.substring(path, 1, length))))
-    return F.array_compact(F.array(*keys)) if keys else F.array().cast("array<string>")
+    fitting = F.filter(pairs, lambda s: (F.size(labels) >= s["depth"]) & (F.length(path) >= s["length"]) & (host != ""))
+    return F.transform(fitting, lambda s: F.concat(F.array_join(F.slice(labels, -s["depth"], s["depth"]), "."), F.substring(path, F.lit(1), s["length"])))
 
 
-def build(urls: DataFrame, lists: list[RuleList], most_listed: int = 1_000_000) -> list[Cascade]:
+def build(urls: DataFrame, lists: list[RuleList]) -> list[Cascade]:
     """A cascade for each list over all keys in the column ``keys`` of ``urls``.
 
-    The lists are held by the driver, with ``most_listed`` rules at most; the corpus's keys never are, only those that
-    pass a level 0 and are not listed.
+    The lists are held by the driver; the corpus's keys never are, only those that pass a level 0 and are not listed.
     """
-    if sum(len(x.rules) for x in lists) > most_listed:
-        raise ValueError(f"more than {most_listed} rules")
     keys = urls.select(F.explode("keys").alias("key"))
     universe = max(1, keys.agg(F.approx_count_distinct("key")).first()[0])
     more = 1.0
@@ -136,21 +137,40 @@ def build(urls: DataFrame, lists: list[RuleList], most_listed: int = 1_000_000)
         more /= 16
 
 
+#: A listed key costs its cascade about so much: some 40 bits at level 0 for a very large universe, and those above.
+BYTES_A_RULE = 8
+
+
+def _joined(pages: DataFrame, urls: DataFrame, lists: list[RuleList], otherwise: str, id_col: str) -> DataFrame:
+    """The same verdicts by an equi-join of the asked keys with the rules. The best rule is found for each distinct key
+    set, so many pages with one host are not brought together."""
+    rules = urls.sparkSession.createDataFrame(
+        [(r, x.tier, i, x.verdict) for i, x in enumerate(lists) for r in x.rules], "key string, tier int, at int, verdict string"
+    )
+    sets = urls.select(F.array_join("keys", "\n").alias("_set"), "keys").dropDuplicates(["_set"])
+    asked = sets.select("_set", F.explode("keys").alias("key")).join(rules, "key")
+    order = F.struct("tier", -F.length("key"), "at")
+    best = asked.groupBy("_set").agg(F.min_by(F.struct("key", "verdict"), order).alias("best"))
+    out = urls.withColumn("_set", F.array_join("keys", "\n")).join(best, "_set", "left")
+    return out.select(id_col, "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict"))
+
+
 def judge(
     pages: DataFrame, lists: list[RuleList], otherwise: str = "allow", id_col: str = "page_id", url_col: str = "url", most_mb: float = 64.0
 ) -> DataFrame:
     """``id_col``, host, path, rule (the rule that fits; null: none) and verdict, one row a row of ``pages``.
 
     A rule ``host/path`` fits its host and all subdomains if the path starts with the rule's. Null urls and urls without
-    ``://`` have an empty host and path, fit no rule and get ``otherwise``. ``most_mb``: the largest cascade allowed, as
-    every task holds it.
+    ``://`` have an empty host and path, fit no rule and get ``otherwise``. Of equal rules with different verdicts the
+    list named first counts. ``most_mb``: the largest cascades that every task may hold; rules that would need more are
+    joined instead.
     """
     urls = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     urls = urls.select(id_col, F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"))
     urls = urls.withColumn("keys", asked_keys(F.col("host"), F.col("path"), lists))
+    if sum(len(x.rules) for x in lists) * BYTES_A_RULE > most_mb * 1e6:
+        return _joined(pages, urls, lists, otherwise, id_col)
     cascades = build(urls, lists)
-    if sum(c.n_bytes for c in cascades) > most_mb * 1e6:
-        raise ValueError(f"the cascades take more than {most_mb} MB")
     tiers = sorted({x.tier for x in lists})
     plan = [[(x.verdict, c) for x, c in zip(lists, cascades, strict=True) if x.tier == tier] for tier in tiers]
     schema = T.StructType([pages.schema[id_col], *[T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict")]])

@@ -230,3 +230,27 @@ def test_pipeline(spark, sf):
         assert state.columns == docs.columns and state.dtypes == docs.dtypes, k
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_hot_top_nodes_are_split(spark):
+    """With a bound of a few entries all nodes are split twice, and no link is lost."""
+    rng = np.random.default_rng(3)
+    centre = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
+    fps = sorted({int(c) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False)) for c in centre for _ in range(30)})
+    entries = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, i) for i, x in enumerate(fps)], "fp bigint, rep bigint")
+    scratch = Scratch(spark)
+    tops = entries.select(F.inline(simhash.top_nodes()), "fp", "rep")
+    for most in (10**9, 2, 0):
+        rows = simhash.split_nodes(tops, most, scratch)
+        stars = rows.select("top", "fp", "rep").repartition("top").sortWithinPartitions("top").mapInArrow(simhash._stars, "a long, b long")
+        found = {r["node"]: r["component"] for r in components(stars, scratch).collect()}
+        want = slow_components(list(enumerate(fps)))
+        assert {i: found.get(i, i) for i in want} == want, most
+
+
+def test_rows_of_a_repeated_id_are_judged_one_by_one(spark):
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, long, "a"), (5, long, "b"), (5, "quite another text that nobody else has written", "c"), (5, "quite another text that nobody else has written", "d"), (7, "third", "e")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, fp string")
+    got = sorted((r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(df).collect())
+    assert got == sorted([rows[0][:2], rows[2][:2], rows[4][:2]])
