@@ -362,24 +362,26 @@ def eval_metrics(spark, sf_dir):
 
 VECTORS = "SELECT vec_id // 8 AS key, (vec_id % 8)::INT AS pos, embedding AS vec FROM embeddings"
 DOT = "list_inner_product({0}::DOUBLE[], {1}::DOUBLE[])"
-MAXSIM_CTES = f"""v AS ({VECTORS}), q AS (SELECT key AS query_id, pos AS qpos, vec AS qvec FROM v WHERE key < 3),
+#: Queries are the blocks whose key is divisible by 50.
+MAXSIM_CTES = f"""v AS ({VECTORS}), q AS (SELECT key AS query_id, pos AS qpos, vec AS qvec FROM v WHERE key % 50 = 0),
   m AS (SELECT query_id, key, qpos, max({DOT.format('qvec', 'vec')}) AS best FROM q, v GROUP BY query_id, key, qpos),
-  s AS (SELECT query_id, key, round(sum(best), 6) AS score FROM m GROUP BY query_id, key)"""
+  s AS (SELECT query_id, key, round(sum(best), 6) AS score FROM m GROUP BY query_id, key),
+  t AS (SELECT query_id, key, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key)::INT AS rank FROM s)"""
 
 
 def _vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 8").alias("key"), (F.col("vec_id") % 8).cast("int").alias("pos"), F.col("embedding").alias("vec"))
 
 
-def _query_vectors(spark, sf_dir, n=3):
-    return _vectors(spark, sf_dir).filter(F.col("key") < n).select(F.col("key").alias("query_id"), F.col("pos").alias("qpos"), F.col("vec").alias("qvec"))
-
-
 def _token_lists(spark, sf_dir):
     lists = F.transform(F.array_sort(F.collect_list(F.struct("pos", "vec"))), lambda x: x["vec"])
     return _vectors(spark, sf_dir).groupBy("key").agg(lists.alias("tokens"))
 
 
+def _asking(blocks: DataFrame) -> DataFrame:
+    return blocks.filter("key % 50 = 0").withColumnRenamed("key", "query_id")
+
+
 @query(f"SELECT vec_id, round(sqrt({DOT.format('u', 'u')}), 6) AS norm, round(u[1], 6) AS first FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt({DOT.format('embedding', 'embedding')})) AS u FROM embeddings)")
 def l2_normalise(spark, sf_dir):
     u = table(spark, sf_dir, "embeddings").select("vec_id", semantic.unit(F.col("embedding")).alias("u"))
@@ -387,63 +389,57 @@ def l2_normalise(spark, sf_dir):
 
 
 @query(
-    f"""SELECT key, pos2 AS pos, list(round(x, 5) ORDER BY d) AS vec FROM (SELECT key, (pos // 2)::INT AS pos2, d, avg(vec[d]::DOUBLE) AS x FROM ({VECTORS}), unnest(range(1, len(vec) + 1)) y(d)
+    f"""SELECT key, pos2 AS pos, list(CASE WHEN round(x, 5) = 0 THEN 0.0 ELSE round(x, 5) END ORDER BY d) AS vec FROM (SELECT key, (pos // 2)::INT AS pos2, d, avg(vec[d]::DOUBLE) AS x FROM ({VECTORS}), unnest(range(1, len(vec) + 1)) y(d)
       GROUP BY key, pos2, d) GROUP BY key, pos2"""
 )
 def token_pool(spark, sf_dir):
     out = semantic.pool_pairs(_vectors(spark, sf_dir), "key", "pos", "vec")
-    return out.select("key", "pos", F.transform("vec", lambda x: F.round(x, 5)).alias("vec"))
+    return out.select("key", "pos", F.transform("vec", lambda x: F.when(F.round(x, 5) == 0, 0.0).otherwise(F.round(x, 5))).alias("vec"))  # no negative zeros
 
 
 @query(f"WITH {MAXSIM_CTES} SELECT query_id, key, score FROM s")
 def maxsim_join(spark, sf_dir):
-    out = semantic.maxsim_join(_query_vectors(spark, sf_dir), _vectors(spark, sf_dir))
-    return out.withColumn("score", F.round("score", 6))
+    blocks = _token_lists(spark, sf_dir)
+    return semantic.maxsim_many(_asking(blocks), blocks)
 
 
-@query(f"WITH {MAXSIM_CTES} SELECT key, score FROM s WHERE query_id = 0 ORDER BY score DESC, key LIMIT 10")
+@query(f"WITH {MAXSIM_CTES} SELECT query_id, key, score, rank FROM t WHERE rank <= 10")
 def maxsim_topk(spark, sf_dir):
-    import numpy as np
-
-    q = [r["qvec"] for r in _query_vectors(spark, sf_dir, 1).orderBy("qpos").collect()]  # one query's vectors
-    return semantic.maxsim(_token_lists(spark, sf_dir), np.array(q), 10).withColumn("score", F.round("score", 6))
+    blocks = _token_lists(spark, sf_dir)
+    return semantic.maxsim_many(_asking(blocks), blocks, 10)
 
 
-@query()
+@query(f"WITH {MAXSIM_CTES} SELECT query_id, key, score, rank FROM t WHERE rank <= 10")
 def ann_topk(spark, sf_dir):
-    """The best ten by codes; blocks that the codes cannot rule out are scored too, so none of the best is missed."""
-    import numpy as np
-
-    q = np.array([r["qvec"] for r in _query_vectors(spark, sf_dir, 1).orderBy("qpos").collect()], np.float32)  # one query's vectors
-    vectors, encoder = _token_lists(spark, sf_dir), ann.Encoder(q.shape[1])
-    return ann.search(ann.codes(vectors, encoder), vectors, encoder, q, 10, 60).withColumn("score", F.round("score", 6))
+    """The best ten of every query by codes; blocks that the codes cannot rule out are scored too, so none is missed."""
+    vectors, encoder = _token_lists(spark, sf_dir), ann.Encoder(64)
+    return ann.search_many(ann.codes(vectors, encoder), vectors, encoder, _asking(vectors), 10, 60)
 
 
 @query(
-    f"""WITH {MAXSIM_CTES}, a AS (SELECT doc_id AS key, round((doc_id % 97) / 10.0::DOUBLE, 6) AS score FROM documents WHERE doc_id % 3 = 0),
-      b AS (SELECT key, score FROM s WHERE query_id = 0), u AS (SELECT key, max(score) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY key)
-    SELECT key, score FROM u ORDER BY score DESC, key LIMIT 20"""
+    f"""WITH {MAXSIM_CTES}, a AS (SELECT (doc_id % 5) * 50 AS query_id, doc_id AS key, round((doc_id % 97) / 10.0::DOUBLE, 6) AS score FROM documents),
+      b AS (SELECT query_id, key, score FROM t WHERE rank <= 100), u AS (SELECT query_id, key, max(score) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY query_id, key)
+    SELECT query_id, key, score, n::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS n FROM u) WHERE n <= 20"""
 )
 def hybrid_merge(spark, sf_dir):
-    a = table(spark, sf_dir, "documents").filter("doc_id % 3 = 0").select(F.col("doc_id").alias("key"), F.round((F.col("doc_id") % 97) / 10.0, 6).alias("score"))
-    b = maxsim_join(spark, sf_dir).filter("query_id = 0").select("key", "score")
-    return rank.merge(a, b, "key").orderBy(F.desc("score"), "key").limit(20)
+    """Candidates by words (here all documents, with a made-up score) and by vectors, merged for every query."""
+    a = table(spark, sf_dir, "documents").select(((F.col("doc_id") % 5) * 50).alias("query_id"), F.col("doc_id").alias("key"), F.round((F.col("doc_id") % 97) / 10.0, 6).alias("score"))
+    blocks = _token_lists(spark, sf_dir)
+    return lexical.top_k(rank.merge(a, semantic.maxsim_many(_asking(blocks), blocks, 100), "query_id", "key"), 20)
 
 
 @query(
-    f"""WITH {MAXSIM_CTES}, k AS (SELECT doc_id AS key, source AS file, {KIND} AS type FROM documents)
-    SELECT key, file, type, score FROM s JOIN k USING (key) WHERE query_id = 0 AND file <> (SELECT file FROM k WHERE key = 0) AND type NOT IN ('text', 'section')
-    ORDER BY score DESC, key LIMIT 10"""
+    f"""WITH {MAXSIM_CTES}, k AS (SELECT doc_id AS key, source AS file, {KIND} AS type FROM documents),
+      o AS (SELECT s.*, k.file, k.type, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, s.key) AS n FROM s JOIN k USING (key) JOIN k own ON own.key = s.query_id
+        WHERE k.file <> own.file AND k.type NOT IN ('text', 'section'))
+    SELECT query_id, key, file, type, score FROM o WHERE n <= 10"""
 )
 def similar_blocks(spark, sf_dir):
-    import numpy as np
-
+    """For every query block the most similar blocks of other files, without text and sections."""
     blocks = shared(spark, sf_dir, f"SELECT doc_id AS key, source AS file, {KIND} AS type FROM documents")
-    q = [r["qvec"] for r in _query_vectors(spark, sf_dir, 1).orderBy("qpos").collect()]  # the reference block's vectors
-    own = blocks.filter("key = 0").select(F.col("file").alias("own"))
-    others = blocks.join(own, F.col("file") == F.col("own"), "left_anti").filter(~P.is_doc(F.col("type")))
-    found = semantic.maxsim(_token_lists(spark, sf_dir).join(others.select("key"), "key", "left_semi"), np.array(q), 10)
-    return found.join(others, "key").select("key", "file", "type", F.round("score", 6).alias("score"))
+    lists = _token_lists(spark, sf_dir).join(blocks, "key").withColumn("apart", F.col("file"))
+    found = semantic.maxsim_many(_asking(lists), lists.filter(~P.is_doc(F.col("type"))), 10)
+    return found.join(blocks, "key").select("query_id", "key", "file", "type", "score")
 
 
 # --- ranking and filters ---
@@ -542,11 +538,11 @@ def result_lines(spark, sf_dir):
 
 
 @query(
-    f"""SELECT string_agg(concat('## ', file, ':', start_line, ' (', name, ', score: ', printf('%.2f', score), ')', chr(10), '```', chr(10), content, chr(10), '```'), chr(10) || chr(10) ORDER BY rank) AS markdown
-    FROM ({RANKED}) WHERE doc_id < 20"""
+    f"""SELECT rank, concat('## ', file, ':', start_line, ' (', name, ', score: ', printf('%.2f', score), ')', chr(10), '```', chr(10), content, chr(10), '```') AS markdown
+    FROM ({RANKED})"""
 )
 def result_markdown(spark, sf_dir):
-    return report.as_markdown(shared(spark, sf_dir, RANKED).filter("doc_id < 20"))
+    return report.markdown_parts(shared(spark, sf_dir, RANKED))
 
 
 @query(f"SELECT rank, json_object('file', file, 'type', type, 'name', name, 'start_line', start_line, 'end_line', end_line)::VARCHAR AS json FROM ({RANKED})")
@@ -590,13 +586,12 @@ def chunk_search(spark, sf_dir):
 @query()
 def index_search(spark, sf_dir):
     """A whole index of the documents in the shared folder, brought from one state to the next, and a hybrid search."""
-    import tempfile
+    import uuid
 
     from tessella.plans.index import Index
+    from tessella.session import shared_folder
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tessella-')}"
-    import uuid
-
+    folder = shared_folder(spark)
     index = Index(spark, f"{folder}/index-{uuid.uuid4().hex}", embedder=semantic.HashEmbedder(), pool=2)
     index.build(state(spark, sf_dir, V1).withColumn("rel_path", F.regexp_replace("rel_path", r"\.[^./]*$", ".txt")))
     index.update(state(spark, sf_dir, V2).withColumn("rel_path", F.regexp_replace("rel_path", r"\.[^./]*$", ".txt")))

@@ -155,7 +155,7 @@ def _run(spark: SparkSession, a: argparse.Namespace) -> int:
         print(json.dumps(index.status(sources.scan(spark, root)).first().asDict()))
         return 0
     if a.command == "outline":
-        for r in index.outline(None if scope == "." else scope).orderBy("file").collect():
+        for r in index.outline(None if scope == "." else scope).orderBy("file").toLocalIterator():
             print(json.dumps({"file": r["file"], "blocks": [b.asDict() for b in r["blocks"]]}))
         return 0
     ref = I.parse_reference(a.query, lambda p: os.path.isfile(os.path.join(root, p)))

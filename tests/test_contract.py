@@ -14,7 +14,7 @@ def flat(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return "null"
     if isinstance(v, float):
-        return f"{v:.6g}" if v else "0"
+        return f"{v:.10g}"  # -0.0 is not 0.0
     if isinstance(v, (list, tuple)):
         return f"[{','.join(map(flat, v))}]"
     return str(v)
