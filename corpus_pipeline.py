@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe, decontamination, quality, simhash, substring_dedup
-from tessella.llm.common import Scratch, table
+from tessella.llm.common import Scratch, small_batches, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,6 +35,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every text as token ids, and a digest of the text that they give again."""
+    small_batches(spark)
     out = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), decode_too=True)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

@@ -20,7 +20,20 @@ _W = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u300
 CHUNK = re.compile(f"[{_W}]*[^{_W}]+|[{_W}]+")
 
 
+#: Rows that go to a Python worker at once. Spark's own number, ten thousand, is meant for narrow rows; of whole texts they
+#: are tens of MB, which the executor and its workers each hold several times over.
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send whole texts to Python in small batches, unless the session has a number of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -65,6 +78,7 @@ class Scratch:
     """Tables written to the shared folder, so that a lost executor never costs more than the stage at hand."""
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark, self.root = spark, f"{shared_folder(spark)}/tessella-{uuid.uuid4().hex}"
         self.n = 0
 
