@@ -162,9 +162,9 @@ class _Known(dict):
         return ids
 
 
-def load(path: str) -> Bpe:
+def load(path: str, keep: int = 150_000) -> Bpe:
     """The tokenizer in ``path``, read once in each Python worker and held there until another operator runs."""
-    return held(f"bpe {path}", lambda: Bpe(path))
+    return held(f"bpe {path} {keep}", lambda: Bpe(path, keep))
 
 
 def _list_array(lists: list[list[int]]) -> pa.ListArray:
@@ -173,18 +173,18 @@ def _list_array(lists: list[list[int]]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(lists), np.int32, offsets[-1])))
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", decode_too: bool = False, rows: int = 256) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", decode_too: bool = False, rows: int = 256, keep: int = 150_000, forget: bool = True) -> DataFrame:
     """``id_col``, ids ARRAY<INT> and, if asked for, ``decoded``: those ids turned into text again.
 
     Null texts are empty (no ids); repeated and null ids keep their rows; texts of any length are encoded whole;
-    other columns are not read. ``rows``: texts that are held in Python at once.
+    other columns are not read. ``rows``: texts that are held in Python at once. ``keep``: see Bpe. ``forget``: a task remembers
+    for itself, so that workers that idle hold no more than the tables; otherwise tasks of a worker share what they know.
     """
     fields = [docs.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType()))]
     fields += [T.StructField("decoded", T.StringType())] * decode_too
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(tokenizer_path)
-        bpe.forget()  # a task remembers for itself: workers that idle hold no more than the tables
+        bpe = load(tokenizer_path, keep)
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)
@@ -193,7 +193,8 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                 if decode_too:
                     out.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
-        bpe.forget()
+        if forget:
+            bpe.forget()
 
     return docs.select(F.col(id_col), text_of(text_col).alias("text")).mapInArrow(run, T.StructType(fields))
 
