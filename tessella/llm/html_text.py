@@ -21,11 +21,9 @@ from pyspark.sql import types as T
 
 from tessella.llm.common import text_of
 
-#: A quote opens a value only after "=", as in browsers, and a value ends at its closing quote however far that is. A quote
-#: that is never closed is a character as any other; a tag whose end is never reached so ends at the first ">".
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+>|[^>]*>)", re.DOTALL
-)
+_START = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*+))")
+#: What decides where a tag ends: its ">", and the values that may hold one. A quote opens a value only after "=".
+_EVENT = re.compile(r">|=\s*+(?:[\"']|[^\s>]*+)")
 _ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _READ = frozenset("class id role style hidden aria-hidden".split())
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -54,20 +52,65 @@ NAME_ODDS = (
     | {"header": -5.0, "head": -3.0, "article": 3.0, "content": 2.0, "main": 3.0, "post": 2.0, "entry": 2.0, "story": 2.0, "body": 1.0, "text": 1.0, "prose": 2.0}
 )
 
+#: What an edge between blocks of one element weighs.
+WEIGHT = 2.5
+
 LAYOUT = frozenset("with has no without".split())
 
 
 @dataclass
 class Block:
-    """Text between two borders of block elements, with the path of open elements (their numbers) and what speaks for it."""
+    """Text between two borders of block elements, the innermost block element around it and what speaks for it."""
 
     text: str
-    path: tuple[int, ...]
+    node: Node
     tag: str
     odds: float
     linked: int
 
 
+@dataclass
+class Node:
+    """A block element; the root, which is the page, has no parent."""
+
+    parent: Node | None
+    depth: int
+
+
+class _Tags:
+    """Finds where tags end, in time linear in the page however broken its quotes are."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.dead: set[int] = set()  # events after which no tag ends outside of quotes
+        self.closed = {"'": True, '"': True}  # whether a further quote is to come
+        self.gap = (0, -1, None)  # from one place to another the next event is this
+
+    def _event(self, at: int) -> re.Match | None:
+        begin, end, event = self.gap
+        if not begin <= at <= end:
+            event = _EVENT.search(self.html, at)
+            self.gap = (at, event.start() if event else len(self.html), event)
+        return event
+
+    def end(self, at: int) -> int:
+        """Behind the ">" of the tag that goes on at ``at``; -1 if there is none. A value ends at its closing quote however
+        far that is; a quote that is never closed is a character as any other. If no ">" is left outside of quotes the
+        tag ends at the first one."""
+        html, begin, walked = self.html, at, []
+        while (event := self._event(at)) and event.start() not in self.dead:
+            if event[0] == ">":
+                return event.end()
+            walked.append(event.start())
+            at, quote = event.end(), event[0][1:].lstrip()
+            if self.closed.get(quote):
+                close = html.find(quote, at)
+                self.closed[quote] = close >= 0
+                at = close + 1 if close >= 0 else at
+        self.dead.update(walked)
+        return html.find(">", begin) + 1 or -1
+
+
 def _element_odds(tag: str, attributes: str) -> float:
     odds = TAG_ODDS.get(tag, 0.0)
     if tag in ("html", "body") or not attributes.strip("/> \n\t"):
@@ -91,42 +134,57 @@ def _element_odds(tag: str, attributes: str) -> float:
 
 def blocks_of(html: str) -> list[Block]:
     """The text blocks of a page in page order. Broken markup is read as browsers do: stray ends are ignored, a new
-    block ends an open paragraph, what is never closed lasts to the end of its parent."""
+    block ends an open paragraph, what is never closed lasts to the end of its parent. The time is linear in the page:
+    what is open is counted by tag, and a block knows its parent element only."""
     out: list[Block] = []
-    stack: list[tuple[str, int, float]] = []  # tag, number, log-odds with all that is around it
+    root = Node(None, 0)
+    stack: list[tuple[str, float, Node]] = []  # tag, log-odds with all that is around it, innermost block element
+    places: dict[str, list[int]] = {}  # where each tag is open in the stack
+    outer: list[int] = []  # where block elements are
     parts: list[str] = []
-    linked, number, never, at = 0, 0, 0, 0
+    linked, never, at = 0, 0, 0
+    tags = _Tags(html)
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(unescape("".join(parts)).split())
         parts.clear()
         if text:
-            outer = [(t, n) for t, n, _ in stack if t not in INLINE]
-            out.append(Block(text, tuple(n for _, n in outer), outer[-1][0] if outer else "", stack[-1][2] if stack else 0.0, min(linked, len(text))))
+            tag, odds = (stack[outer[-1]][0] if outer else ""), (stack[-1][1] if stack else 0.0)
+            out.append(Block(text, stack[-1][2] if stack else root, tag, odds, min(linked, len(text))))
         linked = 0
 
     def text(raw: str) -> None:
         nonlocal linked
         if raw and not never:
             parts.append(raw)
-            if any(t == "a" for t, _, _ in stack):
+            if places.get("a"):
                 linked += len(raw.strip())
 
     def pop_to(depth: int) -> None:
         nonlocal never
-        never -= sum(t in NEVER for t, _, _ in stack[depth:])
-        del stack[depth:]
+        while len(stack) > depth:
+            tag = stack.pop()[0]
+            places[tag].pop()
+            never -= tag in NEVER
+            if outer and outer[-1] == len(stack):
+                outer.pop()
 
     end = len(html)
-    while at < end:
-        m = _TOKEN.search(html, at)
-        if not m:
-            text(html[at:])
-            break
-        text(html[at : m.start()])
-        at = m.end()
+    while m := _START.search(html, at):
+        begin = m.start()
         tag = (m[2] or "").lower()
+        if m[0] == "<!--":
+            close = html.find("-->", m.end())
+            after = close + 3 if close >= 0 else end
+        else:
+            after = tags.end(m.end()) if tag else html.find(">", m.end()) + 1
+            if after <= 0:  # no tag ends from here on, and no comment
+                begin = html.find("<!--", m.end())
+                end = begin if begin >= 0 else end
+                break
+        text(html[at:begin])
+        at = after
         if not tag:
             continue
         block = tag not in INLINE
@@ -135,30 +193,29 @@ def blocks_of(html: str) -> list[Block]:
         elif tag == "br":
             parts.append(" ")
         if m[1]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    pop_to(depth)
-                    break
-                if not block and stack[depth][0] not in INLINE:
-                    break  # an inline end does not close the block around it
+            if places.get(tag) and (block or not outer or outer[-1] < places[tag][-1]):  # an inline end does not close the block around it
+                pop_to(places[tag][-1])
             continue
+        attributes = html[m.end() : at - 1]
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(html, at)
-            at = close.end() if close else end
+            close = re.compile(rf"</{re.escape(tag)}\b", re.IGNORECASE).search(html, at)
+            at = (html.find(">", close.end()) + 1 or end) if close else end
             continue
-        if tag in VOID or m[3].endswith("/>") and not block:
+        if tag in VOID or attributes.endswith("/") and not block:
             continue
         if tag in ENDS_P or tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
             ends = ("p",) if tag in ENDS_P else ("p", tag)
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] in ends:
-                    pop_to(depth)
-                    break
-                if stack[depth][0] not in INLINE and stack[depth][0] != "p":
-                    break
-        number += 1
+            nearest = max((places[t][-1] for t in ends if places.get(t)), default=-1)
+            if outer and outer[-1] == nearest:
+                pop_to(nearest)
+        node = stack[-1][2] if stack else root
+        if block:
+            node = Node(node, node.depth + 1)
+            outer.append(len(stack))
+        places.setdefault(tag, []).append(len(stack))
         never += tag in NEVER
-        stack.append((tag, number, (stack[-1][2] if stack else 0.0) + _element_odds(tag, m[3])))
+        stack.append((tag, (stack[-1][1] if stack else 0.0) + _element_odds(tag, attributes), node))
+    text(html[at:end])
     flush()
     return out
 
@@ -177,23 +234,26 @@ def log_odds(b: Block) -> float:
     return odds
 
 
-def smoothness(blocks: list[Block], weight: float = 1.5) -> list[tuple[int, int, float]]:
-    """Edges between neighbours and between blocks under one parent, weaker with each step through the tree."""
+def steps(a: Node, b: Node) -> int:
+    """The steps from one element to another through the tree."""
+    n = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+        n += 1
+    return n
 
-    def steps(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-        same = 0
-        for x, y in zip(a, b, strict=False):
-            if x != y:
-                break
-            same += 1
-        return len(a) + len(b) - 2 * same
 
+def smoothness(blocks: list[Block], weight: float = WEIGHT) -> list[tuple[int, int, float]]:
+    """Edges between neighbours and between blocks under one parent, weaker with each step through the tree."""
     edges = []
     latest: dict[int, int] = {}
     for i, b in enumerate(blocks):
         if i:
-            edges.append((i - 1, i, weight / (1 + steps(blocks[i - 1].path, b.path))))
-        parent = b.path[-2] if len(b.path) > 1 else 0
+            edges.append((i - 1, i, weight / (1 + steps(blocks[i - 1].node, b.node))))
+        parent = id(b.node.parent or b.node)
         if parent in latest and latest[parent] != i - 1:
             edges.append((latest[parent], i, weight / 3))
         latest[parent] = i

@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 import pytest
@@ -73,6 +74,72 @@ def test_cut_is_minimal(seed):
     assert cost == pytest.approx(brute(odds, edges))
 
 
+def both(html):
+    """The blocks' texts that the signs of their log-odds keep, and those that the cut keeps."""
+    blocks = H.blocks_of(html)
+    odds = [H.log_odds(b) for b in blocks]
+    kept = H.min_cut(odds, H.smoothness(blocks))
+    return [b.text for b, o in zip(blocks, odds, strict=True) if o > 0], [b.text for b, k in zip(blocks, kept, strict=True) if k]
+
+
+def test_cut_overturns_single_blocks():
+    long = "Words of the article, a good many of them, so that nobody could take them for anything but text. " * 2
+    short = f"<div><p>{long}</p><div>Half past four.</div><p>{long}</p></div>"
+    by_sign, by_cut = both(short)
+    assert "Half past four." not in by_sign and "Half past four." in by_cut
+    lists = "<ul>" + "<li><a href=x>Some place</a></li>" * 3
+    alone = f"<div>{lists}<li>And a line of plain text that is long enough to be seen as such</li>{'<li><a href=x>Some place</a></li>' * 3}</ul></div>"
+    by_sign, by_cut = both(alone)
+    assert by_sign and not by_cut
+
+
+def blind(html):
+    """The page without names, its telling elements made plain ones."""
+    html = re.sub(r"""\s(?:class|id|role)\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)""", "", html)
+    return re.sub(r"<(/?)(?:article|main|nav|footer|aside|form|menu|dialog|header|section)\b", r"<\1div", html)
+
+
+def test_cut_on_pages_without_telling_markup(spark, sf):
+    """Labels come from the pages as they are; the cut must find them on the blind pages better than the odds alone."""
+    n = by_sign = by_cut = changed = 0
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        html = r["html"] or ""
+        article = set(H.main_text(html).split("\n"))
+        blocks = H.blocks_of(blind(html))
+        odds = [H.log_odds(b) for b in blocks]
+        for b, o, k in zip(blocks, odds, H.min_cut(odds, H.smoothness(blocks)), strict=True):
+            n, by_sign, by_cut, changed = n + 1, by_sign + ((o > 0) == (b.text in article)), by_cut + (k == (b.text in article)), changed + (k != (o > 0))
+    print(f"{n} blocks: {by_sign / n:.4f} right by sign, {by_cut / n:.4f} by the cut, which changed {changed}")
+    assert changed > 0 and by_cut > by_sign and by_cut >= 0.99 * n
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<div>" * 10_000 + "x" + "</div>" * 10_000,
+        "<div>x " * 10_000,
+        "<div>" * 10_000 + "</q>" * 10_000 + "</i>" * 10_000,
+        "<b><div>" + "<i>" * 10_000 + "</b>" * 10_000,
+        '<a href="' * 110_000,
+        "<a x=\"> <b y='>" * 70_000,
+        "<a b=c " * 140_000,
+        "<!" * 500_000,
+        "<script>" + "</script" * 100_000,
+    ],
+    ids=["nested", "nested text", "stray ends", "stray inline ends", "open quotes", "mixed quotes", "open tags", "declarations", "script ends"],
+)
+def test_broken_pages_take_linear_time(html):
+    begun = time.time()
+    H.main_text(html)
+    assert time.time() - begun < 5
+
+
+def test_tags_that_never_end():
+    assert H.main_text("<p>a</p><b <!-- c") == "a\n<b"
+    assert H.main_text("a < b <") == "a < b <"
+    assert H.main_text("<p title = 'x > y' id=it's>a</p>") == "a"
+
+
 def test_test_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in H.extract(pages).collect()}
