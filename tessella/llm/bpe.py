@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import CHUNK, held, text_of
+from tessella.llm.common import CHUNK, held, no_collector, text_of
 
 #: The byte-level pattern that cuts a text into pre-tokens (fixed by the tokenizer's format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -72,7 +72,7 @@ class Bpe:
     def forget(self) -> None:
         """Start with nothing remembered."""
         self.known = _Known(self.encode_chunk, self._keep)
-        self.pretokens = _Known(lambda p: self.encode_pretoken(p.encode()), self._keep // 4)
+        self.pretokens = _Known(self.encode_pretoken, self._keep // 4)
         self.fitting: dict[int, bool] = {}
 
     def fits(self, a: int, b: int) -> bool:
@@ -95,11 +95,12 @@ class Bpe:
             else:
                 return True
 
-    def encode_pretoken(self, data: bytes) -> list[int]:
+    def encode_pretoken(self, pretoken: str) -> list[int]:
+        data = pretoken if pretoken.isascii() else pretoken.encode().decode("latin-1")  # a letter for each byte
         n, size, fitting = len(data), self.size, self.fitting
-        last = [0] * (n + 1)
+        last = [0]
         done = 0  # prefixes whose last token is known; one more with each place of the text
-        for end, token in self.suffixes.iter(data.decode("latin-1")):
+        for end, token in self.suffixes.iter(data):
             if end < done:
                 continue
             at = done + 1 - size[token]
@@ -113,7 +114,7 @@ class Bpe:
                 if not fit:
                     continue
             done += 1
-            last[done] = token
+            last.append(token)
         ids = []
         while n:
             ids.append(last[n])
@@ -188,7 +189,8 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)
-                ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
+                with no_collector():
+                    ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
                 out = [batch.column(0), _list_array(ids)]
                 if decode_too:
                     out.append(pa.array([bpe.decode(x) for x in ids], pa.string()))

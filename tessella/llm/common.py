@@ -74,6 +74,18 @@ def release() -> None:
             ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+@contextlib.contextmanager
+def no_collector():
+    """Without the collector of cycles: where none arise, it walks large tables again and again for nothing."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class Scratch:
     """Tables written to the shared folder, so that a lost executor never costs more than the stage at hand."""
 

@@ -64,7 +64,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text they give again, as digests."""
-    out = bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE, decode_too=True, keep=300_000, forget=False)  # alone in its job, memory is free for it
+    out = bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE, decode_too=True, keep=400_000, forget=False)  # alone in its job, memory is free for it
     return bpe_digests(out)
 
 
