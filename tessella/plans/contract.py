@@ -598,6 +598,51 @@ def index_search(spark, sf_dir):
     return index.search("the passage that is of interest", 10).withColumn("score", F.round("score", 4))
 
 
+TXT = r"regexp_replace(rel_path, '\.[^./]*$', '.txt')"
+
+
+@query(f"SELECT {TXT} AS rel_path, {HASH.format('content')} AS hash, mtime, CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_extra FROM ({V2})")
+def incremental_equals_full(spark, sf_dir):
+    """The manifest of an index brought from one state to the next, and how many of each file's blocks (with their postings
+    and lengths) differ from those of an index built of the next state alone."""
+    import uuid
+
+    from tessella.plans.index import Index
+    from tessella.session import shared_folder
+
+    old, new = (state(spark, sf_dir, v).withColumn("rel_path", F.regexp_replace("rel_path", r"\.[^./]*$", ".txt")) for v in (V1, V2))
+    changed, full = (Index(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}") for _ in range(2))
+    changed.build(old)
+    changed.update(new)
+    full.build(new)
+
+    def rows(index: Index) -> DataFrame:
+        words = index.store.table("postings").groupBy("key").agg(F.count("*").alias("terms"), F.sum(F.xxhash64("term", "tf").cast("decimal(38,0)")).alias("words"))
+        return index.blocks().join(words, "key", "left").join(index.store.table("lengths"), "key", "left")
+
+    def per_file(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(F.col("file").alias("rel_path")).agg(F.count("*").alias(name))
+
+    got, want = rows(changed), rows(full)
+    missing, extra = per_file(want.exceptAll(got), "n_missing"), per_file(got.exceptAll(want), "n_extra")
+    files = changed.store.table("manifest").select("rel_path", "hash", "mtime").join(missing, "rel_path", "full").join(extra, "rel_path", "full")
+    return files.select("rel_path", "hash", "mtime", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("n_missing", "n_extra")])
+
+
+@query(f"SELECT rel_path, {HASH.format('content')} AS hash, mtime FROM (SELECT {TXT} AS rel_path, content, mtime FROM ({V1})) WHERE NOT starts_with(rel_path, 'src1/')")
+def index_after_removal(spark, sf_dir):
+    """The manifest of an index from which a directory was removed."""
+    import uuid
+
+    from tessella.plans.index import Index
+    from tessella.session import shared_folder
+
+    index = Index(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    index.build(state(spark, sf_dir, V1).withColumn("rel_path", F.regexp_replace("rel_path", r"\.[^./]*$", ".txt")))
+    index.remove_prefix("src1")
+    return index.store.table("manifest").select("rel_path", "hash", "mtime")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
