@@ -46,6 +46,24 @@ def test_other_queries_give_rows(spark, sf, name):
     assert contract.QUERIES[name](spark, sf).count() > 0
 
 
+ODD_TEXTS = [
+    "a\r\nb\r\n\r\nc", "a\n\n", "x\n\u2028", "x\n\r", "x\n\u0085", "\u00a0\nq\n\u3000\nz\nw\nv", "\t\nq\nr\ns", None, "", "\n", "\r\n", "a\n\n\nb\n",
+    "\u2003 \nk", "\x0b\nl", "a\rb\n\rc", "\u200b\nm", "\u1680\nm \n\u205f\nn", "\n\n\nlast\n\n",
+]
+
+
+@pytest.mark.parametrize("name", ["result_lines", "result_markdown", "result_json", "preview_lines", "fallback_head", "line_chunks"])
+def test_lines_of_odd_texts_are_those_of_sql(spark, tmp_path, name):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    texts = [*ODD_TEXTS, *[f"{'long words ' * 20}\n{t}" for t in ODD_TEXTS if t]]
+    docs = [(i, t, None if i % 5 == 0 else "en", None if i % 7 == 3 else "src1", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, schema).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    df, want = contract.QUERIES[name](spark, str(tmp_path)), c.sql(contract.SQL[name])
+    assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
+
+
 def test_entry_points(spark):
     import __spark_entry__ as e
 
