@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.session import shared_folder
+from tessella.session import shared_folder, small_batches
 
 #: White space as Unicode has it. No pre-token of a byte-level tokenizer goes on from another character to white space, so
 #: texts fall apart into chunks of blanks and what follows them, and a chunk's tokens depend on nothing else.
@@ -20,18 +20,6 @@ _W = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u300
 CHUNK = re.compile(f"[{_W}]*[^{_W}]+|[{_W}]+")
 
 
-#: Rows that go to a Python worker at once. Spark's own number, ten thousand, is meant for narrow rows; of whole texts they
-#: are tens of MB, which the executor and its workers each hold several times over.
-BATCH_ROWS = 1024
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Send whole texts to Python in small batches, unless the session has a number of its own."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(BATCH_ROWS))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
