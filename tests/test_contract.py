@@ -69,3 +69,16 @@ def test_entry_points(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_terms_of_queries_are_not_broadcast(spark, tmp_path):
+    from tessella.operators import lexical
+
+    spark.range(50).selectExpr("id AS query_id", "concat('delete the error handler ', id) AS t").write.parquet(f"{tmp_path}/q")
+    synonyms = spark.createDataFrame([("delete", "remove", 0), ("error", "exception", 1)], "term string, synonym string, ord int")
+    for table in (synonyms, synonyms.hint("broadcast")):
+        out = lexical.expand_queries(spark.read.parquet(f"{tmp_path}/q"), "query_id", "t", table)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not any("Generate" in part.split("BroadcastHashJoin")[0] for part in plan.split("BroadcastExchange")[1:])
+        assert plan.count("BroadcastExchange") == (table is not synonyms)
+        assert out.filter("t LIKE '% 7 %'").first()["t"] == "delete the error handler 7 remove exception"
